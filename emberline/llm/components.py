@@ -1,0 +1,27 @@
+"""Connected components of an edge table by minimum labels and pointer jumping; nothing reaches the driver but counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import stage
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: long columns a and b. Returns node and label, the smallest node of its component, for nodes with edges.
+
+    Each round is a written table, so a lost executor costs one round at most. Labels reach along paths twice as long
+    each round, so rounds grow with the logarithm of the longest shortest path.
+    """
+    both = stage.persisted(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stage.persisted(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = stage.persisted(step, "labels")
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = stage.persisted(step.join(jump, "label").select("node", "old", F.col("far").alias("label")), "labels")
+        if labels.filter("old <> label").isEmpty():
+            return labels.select("node", "label")
+        labels = labels.select("node", "label")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, quality, sharding, stage, warc
+from . import chat, lines, minhash, pieces, quality, sharding, stage, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 HARD_TEXT = r"\### Assistant: </turn> ok"
 SHARDS = 24
+#: Folder of the public vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +39,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(stage.table(spark, sf_dir, "documents"), n=4)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_spread_lines(stage.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -52,5 +60,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).drop("probability")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op3_warc, op5_line_dedup, op6_sharding, op7_quality_rules)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_column(stage.table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op3_warc, op4_minhash_near_dedup, op5_line_dedup, op6_sharding, op7_quality_rules, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
