@@ -79,9 +79,9 @@ class Texts:
     def span(self, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((c[end] - c[start]) * self.powers.down[start] + (end - start).astype(np.uint64))
 
-    def word_bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and text of each run of bytes other than ASCII white space."""
-        solid = ~_SPACE[self.raw]
+    def word_bounds(self, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text of each run of bytes other than those between words, ASCII white space by default."""
+        solid = ~between[self.raw]
         first = np.ones(len(solid), bool)
         first[1:] = ~solid[:-1]
         last = np.ones(len(solid), bool)
