@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, lines, minhash, pieces, quality, sharding, stage, warc
+from . import chat, decontamination, lines, lm_scoring, minhash, pieces, quality, sharding, stage, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = stage.table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.score_documents(stage.table(spark, sf_dir, "documents"), good).withColumnRenamed("id", "doc_id")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage.new_path(spark, "warc")
     warc.write_archives(stage.table(spark, sf_dir, "pages"), path)
@@ -68,5 +73,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_column(stage.table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op3_warc, op4_minhash_near_dedup, op5_line_dedup, op6_sharding, op7_quality_rules, op9_decontamination, op10_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_warc, op4_minhash_near_dedup, op5_line_dedup, op6_sharding, op7_quality_rules, op9_decontamination, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
