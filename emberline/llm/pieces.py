@@ -57,87 +57,114 @@ class Vocabulary:
 class Encoder:
     """Encodes lists of texts; remembers parts that it has met."""
 
+    #: Stands between parts in the index; no character has it.
+    BETWEEN = 0x110000
+    NONE, START = -2, -1
+
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
         self.id = {p: i for i, p in enumerate(v.pieces) if v.normal[i]}
+        self.score = {p: v.scores[i] for p, i in self.id.items()}
         names = list(self.id)
         self.longest = max(map(len, names))
-        self.ids = np.array(list(self.id.values()))
-        self.len = np.array([len(p) for p in names])
         low = np.zeros((len(names), self.longest), ">u4")
         high = np.full((len(names), self.longest), 0xFFFFFFFF, ">u4")
         for k, p in enumerate(names):
             low[k, : len(p)] = high[k, : len(p)] = np.frombuffer(p.encode("utf-32-be", "surrogatepass"), ">u4")
-        kind = f"S{4 * self.longest}"
-        self.low, self.high = low.view(kind).ravel(), high.view(kind).ravel()
-        self.order = np.argsort(self.low)
+        low, high = (x.view(f"S{4 * self.longest}").ravel() for x in (low, high))
+        order = np.argsort(low)
+        self.low, self.high, self.ids = low[order], high[order], np.array(list(self.id.values()), np.int32)[order]
+        self.len = np.array([len(p) for p in names], np.int32)[order]
         self.text = list(v.pieces)  # of each id; unknown characters are added behind
         self.unknown: dict[str, int] = {}
         inner = {c for p in names if len(p) > 1 for c in p}
-        free = "".join(c for c in "\n\r\t" if c not in inner)
+        cut = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
         crossing = any(SPACE in p.lstrip(SPACE) for p in names)
-        cut = "".join(map(re.escape, free))
         self.parts = re.compile("(?s).+" if crossing else (f"[{cut}]|" if cut else "") + f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+").findall
         self.forget()
 
     def forget(self) -> None:
         self.part: dict[str, int] = {}
-        self.pair: dict[tuple[int, int], bool] = {}
-        self.flat, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-
-    def merged(self, text: str) -> list[str]:
-        """The merges by score, leftmost first among equals; for short texts."""
-        s = list(text)
-        while len(s) > 1:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                k = self.id.get(s[i] + s[i + 1])
-                if k is not None and (best is None or self.v.scores[k] > best):
-                    best, at = self.v.scores[k], i
-            if at < 0:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
-        return s
+        self.pair, self.stays = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether b stays behind a; a = -1 for the start of a part."""
-        ok = self.pair.get((a, b))
-        if ok is None:
-            want = [self.text[b]] if a < 0 else [self.text[a], self.text[b]]
-            ok = self.pair[a, b] = self.merged("".join(want)) == want
-        return ok
-
-    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """End, length and id of every occurrence of a piece, by end and then longest first."""
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        """Whether the merges by score, leftmost first among equals, leave b behind a; START: b alone."""
+        score = self.score.get
+        left = "" if a == self.START else self.text[a]
+        s = list(left + self.text[b])
+        border, never = len(left), float("-inf")  # symbols before the border
+        best = [score(x + y, never) for x, y in zip(s, s[1:])]
+        while best:
+            top = max(best)
+            if top == never:
+                break
+            i = best.index(top)
+            if i == border - 1:
+                return False
+            s[i : i + 2] = [s[i] + s[i + 1]]
+            border -= i < border
+            del best[i]
+            if i < len(best):
+                best[i] = score(s[i] + s[i + 1], never)
+            if i:
+                best[i - 1] = score(s[i - 1] + s[i], never)
+        return len(s) == 1 + (a != self.START)
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a.astype(np.int64) + 1 << 32) + b
+        if len(key) and len(self.pair):
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            missing = self.pair[at] != key
+        else:
+            at, missing = np.zeros(len(key), np.int64), np.ones(len(key), bool)
+        if missing.any():
+            new = np.unique(key[missing])
+            known = np.array([self.may_follow(int(k >> 32) - 1, int(k & 0xFFFFFFFF)) for k in new], bool)
+            place = np.searchsorted(self.pair, new)
+            self.pair, self.stays = np.insert(self.pair, place, new), np.insert(self.stays, place, known)
+            at = np.searchsorted(self.pair, key)
+        return self.stays[at]
+
+    def suffixes(self, code: np.ndarray) -> np.ndarray:
+        """Places in the order of the longest-piece prefixes of their suffixes: packed symbols first, then doubling."""
         n = len(code)
         rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
-        depth = 1
-        while depth < self.longest:
-            later = np.zeros(n, np.int64)
-            later[: max(n - depth, 0)] = rank[depth:]
-            rank = np.unique(rank * (n + 2) + later, return_inverse=True)[1].astype(np.int64) + 1
+        bits = int(rank.max()).bit_length()
+        depth = max(1, min(self.longest, 62 // bits))
+        key = np.zeros(n, np.int64)
+        for k in range(depth):
+            key <<= bits
+            key[: max(n - k, 0)] |= rank[k:]
+        while True:
+            order = np.argsort(key, kind="stable")
+            if depth >= self.longest:
+                return order
+            s = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate([[1], s[1:] != s[:-1]]))
+            key = rank * (n + 2)
+            key[: max(n - depth, 0)] += rank[depth:]
             depth *= 2
-        suffix = np.argsort(rank, kind="stable")
+
+    def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and id of every occurrence of a piece, and of characters that are none."""
+        n = len(code)
+        suffix = self.suffixes(code)
         padded = np.zeros(n + self.longest, ">u4")
         padded[:n] = code
-        windows = np.lib.stride_tricks.sliding_window_view(padded, self.longest)[suffix]
-        keys = np.ascontiguousarray(windows).view(f"S{4 * self.longest}").ravel()
-        first = np.searchsorted(keys, self.low[self.order])
-        count = np.searchsorted(keys, self.high[self.order], "right") - first
+        keys = np.lib.stride_tricks.sliding_window_view(padded, self.longest)[suffix].view(f"S{4 * self.longest}").ravel()
+        first = np.searchsorted(keys, self.low)
+        count = np.searchsorted(keys, self.high, "right") - first
         found = np.flatnonzero(count > 0)
-        count, first, piece = count[found], first[found], self.order[found]
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        start, length, ids = suffix[at], np.repeat(self.len[piece], count), np.repeat(self.ids[piece], count)
-        alone = np.ones(n, bool)
+        count, first = count[found], first[found]
+        at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        start, length, ids = suffix[at], np.repeat(self.len[found], count), np.repeat(self.ids[found], count)
+        alone = code != self.BETWEEN
         alone[start[length == 1]] = False
-        alone &= code != 0
         lone = np.flatnonzero(alone)
-        new = [self.unknown_id(text[i]) for i in lone]
-        start, length, ids = np.concatenate([start, lone]), np.concatenate([length, np.ones(len(lone), np.int64)]), np.concatenate([ids, np.array(new, np.int64)])
-        end = start + length
-        order = np.lexsort((-length, end))
-        return end[order], length[order], ids[order]
+        new = np.array([self.unknown_id(chr(c)) for c in code[lone].tolist()], np.int32)
+        return np.concatenate([start, lone]), np.concatenate([length, np.ones(len(lone), np.int32)]), np.concatenate([ids, new])
 
     def unknown_id(self, c: str) -> int:
         if c not in self.unknown:
@@ -147,66 +174,85 @@ class Encoder:
 
     def learn(self, parts: list[str]) -> None:
         """Encodes parts that are new."""
-        nul = [p for p in parts if "\0" in p]  # the separator; such parts are encoded apart
-        parts = [p for p in parts if "\0" not in p]
-        for group in ([parts] if parts else []) + [[p] for p in nul]:
-            text = "\0".join(group) if group is parts else group[0].replace("\0", "")
-            if group is not parts:
-                text = group[0]
-            self._relax(group, text, separated=group is parts)
-
-    def _relax(self, group: list[str], text: str, separated: bool) -> None:
-        end, length, ids = self.edges(text)
-        if not separated:  # zero bytes inside: each is a character on its own
-            zero = np.array([i for i, c in enumerate(text) if c == "\0"])
-            end, length, ids = np.concatenate([end, zero + 1]), np.concatenate([length, np.ones(len(zero), np.int64)]), np.concatenate([ids, np.full(len(zero), self.unknown_id("\0"))])
-            order = np.lexsort((-length, end))
-            end, length, ids = end[order], length[order], ids[order]
-        last = [-2] * (len(text) + 1)
-        begins = np.cumsum([0, *(len(p) + 1 for p in group[:-1])]).tolist()
-        for b in begins:
-            last[b] = -1
-        follow, known = self.may_follow, self.pair
-        for e, m, t in zip(end.tolist(), length.tolist(), ids.tolist(), strict=True):
-            a = last[e - m]
-            if last[e] == -2 and a != -2:
-                ok = known.get((a, t))
-                if follow(a, t) if ok is None else ok:
-                    last[e] = t
-        flat, sizes = [], []
-        for b, p in zip(begins, group, strict=True):
-            at, own = b + len(p), []
-            while at > b:
-                t = last[at]
-                own.append(t)
-                at -= len(self.text[t])
-            before = len(flat)
-            for t in reversed(own):
-                if t < len(self.v.pieces):
-                    flat.append(t)
-                else:
-                    flat.extend(self.v.bytes_from + x for x in self.text[t].encode("utf-8", "surrogatepass"))
-            sizes.append(len(flat) - before)
-            self.part[p] = len(self.part)
-        self.flat.append(np.array(flat, np.int32))
-        self.sizes.append(np.array(sizes, np.int64))
+        size = np.array([len(p) for p in parts])
+        begin = np.cumsum(size + 1) - size - 1
+        n = int(begin[-1] + size[-1])
+        code = np.full(n + 1, self.BETWEEN, np.uint32)
+        code[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        start, length, ids = self.edges(code[:n])
+        end = start + length
+        level = end - np.repeat(begin, size + 1)[start]
+        order = np.argsort((level << 40) + (end << 8) - length, kind="stable")
+        start, end, ids, level = start[order], end[order], ids[order], level[order]
+        last = np.full(n + 2, self.NONE, np.int32)
+        last[begin] = self.START
+        bounds = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1], [True]]))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # relaxed level by level, in all parts at once
+            e = end[lo:hi]
+            begins = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+            stop = np.append(begins[1:], hi - lo)
+            at = begins
+            while len(at):  # the longest edge first; the next one only where it may not be taken
+                ok = self.allowed(last[start[lo + at]], ids[lo + at])
+                took = lo + at[ok]
+                last[end[took]] = ids[took]
+                at, stop = at[~ok] + 1, stop[~ok]
+                at, stop = at[at < stop], stop[at < stop]
+        lengths = np.array([len(t) for t in self.text[len(self.v.pieces) :]], np.int64)
+        lengths = np.concatenate([self.piece_lengths(), lengths])
+        place, part, steps = begin + size, np.arange(len(parts)), []
+        while len(part):
+            t = last[place]
+            steps.append((part, t))
+            place = place - lengths[t]
+            more = place > begin[part]
+            place, part = place[more], part[more]
+        owner, tokens = (np.concatenate([s[k] for s in steps]) for k in (0, 1))
+        count = np.bincount(owner, minlength=len(parts))
+        back = np.repeat(np.arange(len(steps)), [len(s[0]) for s in steps])
+        flat = np.empty(len(tokens), np.int32)
+        flat[np.cumsum(count)[owner] - 1 - back] = tokens
+        flat, count = self.with_bytes(flat, count)
+        for k, p in enumerate(parts, len(self.part)):
+            self.part[p] = k
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, count])
+
+    def piece_lengths(self) -> np.ndarray:
+        return np.array([len(p) for p in self.v.pieces], np.int64)
+
+    def with_bytes(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unknown characters as byte pieces."""
+        n = len(self.v.pieces)
+        odd = np.flatnonzero(flat >= n)
+        if not len(odd):
+            return flat, count
+        coded = {t: self.text[t].encode("utf-8", "surrogatepass") for t in np.unique(flat[odd]).tolist()}
+        size = np.ones(len(flat), np.int64)
+        for t, raw in coded.items():
+            size[odd[flat[odd] == t]] = len(raw)
+        first = np.cumsum(size) - size
+        out = np.empty(size.sum(), np.int32)
+        out[first] = flat
+        for t, raw in coded.items():
+            for k, x in enumerate(raw):
+                out[first[odd[flat[odd] == t]] + k] = self.v.bytes_from + x
+        return out, np.bincount(np.repeat(np.arange(len(count)), count), size, len(count)).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text begin and end."""
         if len(self.part) > REMEMBERED or len(self.pair) > 4 * REMEMBERED:
             self.forget()
         split = [self.parts(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if new := [p for p in dict.fromkeys(p for parts in split for p in parts) if p not in self.part]:
-            self.learn(new)
-        self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        flat, sizes = self.flat[0], self.sizes[0]
-        first = np.cumsum(sizes) - sizes
-        n = np.array([len(p) for p in split])
-        which = np.fromiter((self.part[p] for parts in split for p in parts), np.int64, int(n.sum()))
-        size = sizes[which]
+        words = [p for parts in split for p in parts]
+        which = list(map(self.part.get, words))
+        if None in which:
+            self.learn(list({p for p, k in zip(words, which, strict=True) if k is None}))
+            which = list(map(self.part.get, words))
+        which = np.array(which, np.int64)
+        size = self.sizes[which]
         stop = np.cumsum(size)
-        ids = flat[np.arange(size.sum()) - np.repeat(stop - size, size) + np.repeat(first[which], size)]
-        return ids, np.concatenate([[0], np.concatenate([[0], stop])[np.cumsum(n)]]) if len(n) else np.zeros(1, np.int64)
+        ids = self.flat[np.arange(size.sum()) + np.repeat((np.cumsum(self.sizes) - self.sizes)[which] - stop + size, size)]
+        return ids, np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum([len(p) for p in split])]).astype(np.int64)]
 
 
 def byte_table(v: Vocabulary) -> list[bytes]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, lines, lm_scoring, minhash, pieces, quality, sharding, stage, warc
+from . import chat, decontamination, lines, lm_scoring, minhash, pieces, quality, sharding, stage, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).drop("probability")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.drop_repeats(stage.table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("span_start").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(stage.table(spark, sf_dir, "documents"), stage.table(spark, sf_dir, "benchmark"))
 
@@ -73,5 +78,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_column(stage.table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_warc, op4_minhash_near_dedup, op5_line_dedup, op6_sharding, op7_quality_rules, op9_decontamination, op10_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_warc, op4_minhash_near_dedup, op5_line_dedup, op6_sharding, op7_quality_rules, op8_suffix_array_dedup, op9_decontamination, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
