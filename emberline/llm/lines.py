@@ -55,3 +55,8 @@ def drop_spread_lines(df: DataFrame, key: str = "doc_id", text: str = "text", si
         F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).alias("__n_lines"),
         F.when(F.col("__cut"), F.size("__bad")).otherwise(0).alias("__n_removed"),
     )
+
+
+def with_length(df: DataFrame, text: str, length: str) -> DataFrame:
+    """df with the column named length, where it has one, set to the characters of the text."""
+    return df.withColumn(length, F.length(text).cast(dict(df.dtypes)[length])) if length in df.columns else df

@@ -137,7 +137,7 @@ class Encoder:
             key <<= bits
             key[: max(n - k, 0)] |= rank[k:]
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             if depth >= self.longest:
                 return order
             s = key[order]
@@ -182,7 +182,7 @@ class Encoder:
         start, length, ids = self.edges(code[:n])
         end = start + length
         level = end - np.repeat(begin, size + 1)[start]
-        order = np.argsort((level << 40) + (end << 8) - length, kind="stable")
+        order = np.argsort((level << 40) + (end << 8) - length)
         start, end, ids, level = start[order], end[order], ids[order], level[order]
         last = np.full(n + 2, self.NONE, np.int32)
         last[begin] = self.START
