@@ -144,32 +144,39 @@ def _across(num: int, den: int):
     """Pairs inside runs of equal (v, i, j) whose components differ and whose sketches may be linked."""
     tau = num / den
 
-    def group(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: list[np.ndarray], one: bool) -> list[np.ndarray]:
-        """one: all pairs of the run; else those between the two sides."""
-        left, right = (np.arange(len(rep)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        if not len(left) or not len(right) or comp.min() == comp.max():
-            return []
-        own = np.repeat(np.arange(len(rep)), [len(s) for s in sketch])
-        value, at, count = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
+    def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of sets[left] and sets[right]."""
+        own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = np.flatnonzero(count > 1)
         place = np.full(len(value), -1)
         place[shared] = np.arange(len(shared))
         use = place[at] >= 0
         own, col = own[use], place[at][use]
         both = np.zeros((len(left), len(right)), np.float32)
-        step = max(1, (16 << 20) // (4 * max(len(rep), 1)))
+        step = max(1, (16 << 20) // (4 * max(len(sets), 1)))
         order = np.argsort(col, kind="stable")
         own, col = own[order], col[order]
         for c in range(0, len(shared), step):  # a bounded part of the values at a time
             lo, hi = np.searchsorted(col, [c, c + step])
-            m = np.zeros((len(rep), min(step, len(shared) - c)), np.float32)
+            m = np.zeros((len(sets), min(step, len(shared) - c)), np.float32)
             m[own[lo:hi], col[lo:hi] - c] = 1
             both += m[left] @ m[right].T
+        return both
+
+    def group(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: list[np.ndarray], earlier: list[np.ndarray], one: bool) -> list[np.ndarray]:
+        """one: all pairs of the run; else those between the two sides. Pairs that meet in an earlier list are left to it."""
+        left, right = (np.arange(len(rep)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(left) or not len(right) or comp.min() == comp.max():
+            return []
+        both = common(sketch, left, right)
         na, nb = size[left][:, None], size[right][None, :]
         largest = np.maximum(na, nb)
         whole = largest <= SKETCH
         ok = np.where(whole, both >= (tau - 0.005) * (na + nb - both), both >= MARGIN * tau * SKETCH) & (comp[left][:, None] != comp[right][None, :])
         ok &= np.minimum(na, nb) >= tau * largest
+        if ok.any():
+            ok &= common(earlier, left, right) == 0
         x, y = np.nonzero(ok)
         a, b = rep[left[x]], rep[right[y]]
         keep = a < b if one else a != b
@@ -187,10 +194,13 @@ def _across(num: int, den: int):
             rep, comp, side, size = (rows.column(c).to_numpy() for c in ("rep", "comp", "side", "size"))
             col = rows.column("s").combine_chunks()
             flat, off = col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
+            entered = rows.column("entered").combine_chunks()
+            listed, at = entered.flatten().to_numpy(), np.concatenate([[0], np.cumsum(entered.value_lengths().to_numpy())])
             found = []
             for a, b in zip([0, *cut], [*cut, rows.num_rows], strict=True):
                 if b - a > 1:
-                    found += group(rep[a:b], comp[a:b], side[a:b], size[a:b], [flat[off[k] : off[k + 1]] for k in range(a, b)], key[1, a] == key[2, a])
+                    earlier = [x[x < key[0, a]] for k in range(a, b) for x in (listed[at[k] : at[k + 1]],)]
+                    found += group(rep[a:b], comp[a:b], side[a:b], size[a:b], [flat[off[k] : off[k + 1]] for k in range(a, b)], earlier, key[1, a] == key[2, a])
             if found:
                 pairs = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -238,10 +248,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     named = entered.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("label", "rep").alias("comp"))
     named = stage.persisted(named, "members")
     mixed = named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_lists = named.join(mixed, "v").join(held.select("rep", "s", "size"), "rep")
+    in_lists = entered.groupBy("rep").agg(F.collect_set("v").alias("entered"))
+    open_lists = named.join(mixed, "v").join(held.select("rep", "s", "size").join(in_lists, "rep"), "rep")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     open_lists = open_lists.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = open_lists.select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep", "comp", "size", "s")
+    keyed = open_lists.select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep", "comp", "size", "s", "entered")
     spread = keyed.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
     maybe = stage.persisted(spread.mapInArrow(_across(num, den), "a long, b long").distinct(), "pairs")
     left = held.select(F.col("rep").alias("a"), F.col("text").alias("text_a"), F.col("s").alias("s_a"))
