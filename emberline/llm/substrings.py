@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import stage
 from .decontamination import _in, bit_set
-from .textbytes import Powers, Texts, chunks, map_text
+from .textbytes import Powers, Texts, chunks, map_text, mix
 
 GRAM = 24
 GROUP_STRETCHES = 20_000
@@ -88,7 +88,8 @@ def stretches(t: Texts, width: int, gram: int, inner: bool = False) -> tuple[np.
     new |= first_of_text[at]
     first = np.flatnonzero(new)
     found = value[first], np.searchsorted(t.off, at[first], "right") - 1, at[first], np.diff(np.append(first, len(at)))
-    return *found, _inner(h, found[0], found[2], found[3], width - gram + 1) if inner else none[-1]
+    held = _inner(h, found[0], found[2], found[3], width - gram + 1) if inner else none[-1]
+    return mix(found[0]), *found[1:], held  # minima are small numbers; mixed, they spread over the bit set
 
 
 def _digests(t: Texts, start: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
