@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["thermal_queries"]
 
-def oracle_sql() -> dict:
-    return {}
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= getattr(import_module(f"emberline.plans.{m}"), name)
+    return out
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _all("QUERIES")
+
+
+def oracle_sql() -> dict[str, str]:
+    return _all("SQL")
