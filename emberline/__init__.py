@@ -1 +1,10 @@
-"""emberline: DataFrame-first analytics for geolocated heat events and facility registries."""
+"""emberline: DataFrame-first analytics for geolocated heat events and facility registries.
+
+The package is pickled by value, so executors need no copy of it on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -43,10 +43,17 @@ NOISE = [r"\bunit\s+[ivxlcdm\d]+\b", r"\bphase\s+[ivxlcdm\d]+\b", r"\bplant\s+[i
 GENERIC_INDUSTRY = ["industrial", "building industrial", "landuse industrial", "factory", "works", "plant", "manufacturing", "industry", "industrial estate", "industrial area", "general industries", "general", "unit"]
 
 
-@F.pandas_udf("string")
-def fold_marks(text: pd.Series) -> pd.Series:
+def folded(text: str) -> str:
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def fold_marks(text: Column) -> Column:
     """Compatibility decomposition without combining marks, for any script."""
-    return text.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), na_action="ignore")
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(folded, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def collapse(text: Column) -> Column:
@@ -134,15 +141,21 @@ def token_set(a: str, b: str) -> float:
     return max(scores)
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Normalised insert-delete similarity in percent; null counts as empty and gives 0."""
-    return pd.Series([_ratio(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+def _similarity(f, a, b) -> Column:
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([f(p, q) if p and q else 0.0 for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def ratio(a, b) -> Column:
+    """Normalised insert-delete similarity in percent; null and empty give 0."""
+    return _similarity(_ratio, a, b)
 
 
-@F.pandas_udf("double")
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+def token_set_ratio(a, b) -> Column:
+    """Best similarity of the common words and either rest, in percent; null and empty give 0."""
+    return _similarity(token_set, a, b)
 
 
 def like_escaped(value: str) -> str:
