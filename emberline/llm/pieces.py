@@ -30,6 +30,8 @@ SPACE = "▁"
 BATCH_BYTES = 4 << 20
 #: Parts and pairs remembered in a task before the memory starts anew.
 REMEMBERED = 400_000
+#: Characters in an index at most, where a single part is not longer: bounds the memory of a worker.
+INDEX_CHARS = 300_000
 
 
 @dataclass
@@ -246,7 +248,13 @@ class Encoder:
         words = [p for parts in split for p in parts]
         which = list(map(self.part.get, words))
         if None in which:
-            self.learn(list({p for p, k in zip(words, which, strict=True) if k is None}))
+            new = list({p for p, k in zip(words, which, strict=True) if k is None})
+            del which
+            places = np.cumsum([len(p) + 1 for p in new]) // INDEX_CHARS
+            for k in range(int(places[-1]) + 1):
+                lo, hi = np.searchsorted(places, [k, k + 1])
+                if hi > lo:
+                    self.learn(new[lo:hi])
             which = list(map(self.part.get, words))
         which = np.array(which, np.int64)
         size = self.sizes[which]
