@@ -155,7 +155,7 @@ def pair_scores(spark, sf_dir):
 @query("left_records", "right_records")
 def pair_scores_token_set(spark, sf_dir):
     left, right = views.records(spark, sf_dir, 0), views.records(spark, sf_dir, 1)
-    return matching.scored(matching.block_radius(left, right, 12_000), left, right).select("candidate_id", "left_id", "right_id", "match_score", "match_confidence", "match_method")
+    return matching.scored(matching.block_radius(left, right, 12_000), left, right, matching.Weights(max_distance_m=12_000.0)).select("candidate_id", "left_id", "right_id", "match_score", "match_confidence", "match_method")
 
 
 @query(sql="SELECT p_brand, p_partkey AS first_part FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS rn FROM part) x WHERE rn = 1")

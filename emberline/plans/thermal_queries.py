@@ -191,7 +191,7 @@ def unit_features(spark, sf_dir):
 def weekly_units(spark, sf_dir):
     d = views.detections(spark, sf_dir).withColumn("cell", geo.cell_key("lat", "lon"))
     u = detections.weekly_units(d, "cell", "2024-01-01")
-    return u.withColumns({c: F.round(c, 6) for c in ("lat", "lon", "night_fraction")})
+    return u.withColumns({c: F.round(c, 6) for c in ("lat", "lon", "night_fraction")} | {c: F.col(c).cast("long") for c in ("window", "window_month")})
 
 
 @query("detections", sql=f"+{_EDGES}, cells AS (SELECT cluster, {_CELL} AS cell_key, count(*) AS n FROM clustered GROUP BY ALL) SELECT cluster, cell_key FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, cell_key) AS rn FROM cells) x WHERE rn = 1")
