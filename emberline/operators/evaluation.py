@@ -30,7 +30,7 @@ def macro_f1(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:
     """Expected calibration error over bins that are open below and closed above."""
     b = df.withColumn("_b", F.ceil(F.col(confidence) * bins)).groupBy("_b").agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("a"), F.avg(confidence).alias("c"))
-    return b.filter("_b > 0").agg(F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))).alias("s")).join(df.agg(F.count("*").alias("n"))).select((F.col("s") / F.col("n")).alias("ece"))
+    return b.filter("_b > 0").agg(F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))).alias("s")).join(df.agg(F.count("*").alias("n"))).select(F.try_divide("s", "n").alias("ece"))
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
@@ -38,7 +38,7 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     g = df.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("n"))
     below = F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))
     part = g.withColumn("_below", F.coalesce(below, F.lit(0)))
-    return part.agg((F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return part.agg(F.try_divide(F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
 def threshold(df: DataFrame, score: str, alarms: int) -> DataFrame:
@@ -60,7 +60,7 @@ def bootstrap(df: DataFrame, group: str, truth: str, predicted: str, rounds: int
         p /= k + 1
     weight = sum(((u > x).cast("int") for x in limits), F.lit(0))
     w = g.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
-    per = w.groupBy("round").agg((F.sum(F.col("w") * F.col("hits")) / F.sum(F.col("w") * F.col("n"))).alias("accuracy"))
+    per = w.groupBy("round").agg(F.try_divide(F.sum(F.col("w") * F.col("hits")), F.sum(F.col("w") * F.col("n"))).alias("accuracy"))
     return per.agg(F.percentile("accuracy", F.lit(0.025)).alias("low"), F.percentile("accuracy", F.lit(0.975)).alias("high"))
 
 

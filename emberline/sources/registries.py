@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,8 +140,6 @@ def map_elements(spark: SparkSession, path: str) -> DataFrame:
 
 def stitched(ways: Column) -> Column:
     """Rings from ways that meet at their ends, in Arrow batches; ways that close no ring are left out."""
-    import pandas as pd
-
     def join(lines: list[list[tuple]]) -> list[list[tuple]]:
         rings, rest = [], [list(x) for x in lines if len(x) > 1]
         while rest:
