@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import stage
-from .textbytes import Texts, lists, map_text, shingles
+from .textbytes import lists, map_text, shingles, Texts, trimmed
 
 SEED = 3
 SEED_SHARE = 0.75
@@ -179,13 +179,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     parts = stage.persisted(segments(items, item_key, item_text), "segments")
     grams = parts.select("item_id", "part", F.size("grams").alias("n"), F.explode("grams").alias("h"))
     found = stage.persisted(passages(docs, key, text, bit_set(grams)), "passages")
-    counts = found.select("grams").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("count"))
+    counts = found.select("grams").mapInArrow(trimmed(_counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("count"))
     by_count = W.partitionBy("item_id", "part").orderBy("count", "h")
     seeds = grams.join(counts, "h").withColumn("rank", F.row_number().over(by_count) + F.col("n") - F.count("*").over(W.partitionBy("item_id", "part")))
     seeds = stage.persisted(seeds.filter(F.col("rank") <= F.ceil(F.col("n") * SEED_SHARE)).select("item_id", "part", "h"), "seeds")
-    picked = found.mapInArrow(_sampled(bit_set(seeds)), "doc_id long, h long, words array<int>")
+    picked = found.mapInArrow(trimmed(_sampled(bit_set(seeds))), "doc_id long, h long, words array<int>")
     named = picked.join(seeds, "h").join(parts.select("item_id", "part", F.col("words").alias("item_words")), ["item_id", "part"])
-    scored = named.select("doc_id", "item_id", "words", "item_words").mapInArrow(_scored, "doc_id long, item_id long, best int, size int")
+    scored = named.select("doc_id", "item_id", "words", "item_words").mapInArrow(trimmed(_scored), "doc_id long, item_id long, best int, size int")
     return scored.groupBy("doc_id", "item_id").agg(F.max(F.col("best") / F.col("size")).alias("score"))
 
 

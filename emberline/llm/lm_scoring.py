@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import Powers, Texts, chunks, map_text
+from .textbytes import chunks, map_text, Powers, Texts, trimmed
 from . import stage
 
 VOCABULARY = 16_384
@@ -58,7 +58,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
         for i in range(0, len(word), 1 << 17):
             yield pa.record_batch([pa.array(word[i : i + (1 << 17)].view(np.int64)), pa.array(count[i : i + (1 << 17)])], ["word", "count"])
 
-    return docs.select(text).mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return docs.select(text).mapInArrow(trimmed(run), "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def sequences(docs: DataFrame, key: str, text: str, vocabulary: np.ndarray) -> DataFrame:
@@ -153,8 +153,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id",
     target = target_ids.toDF("id").filter("id is not null").distinct().withColumn("target", F.lit(True))
     flagged = sequences(docs, key, text, vocabulary).join(target, "id", "left").select("id", "seq", F.coalesce("target", F.lit(False)).alias("target"))
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    packed = stage.persisted(flagged.mapInArrow(_packed(arrow), f"chunk long, ids array<{kind}>, sizes array<int>, target array<boolean>, seq binary"), "sequences")
-    held = packed.select("chunk", "sizes", "target", "seq").mapInArrow(_counted(v), "pair int, place long, n_all long, n_own long")
+    packed = stage.persisted(flagged.mapInArrow(trimmed(_packed(arrow)), f"chunk long, ids array<{kind}>, sizes array<int>, target array<boolean>, seq binary"), "sequences")
+    held = packed.select("chunk", "sizes", "target", "seq").mapInArrow(trimmed(_counted(v)), "pair int, place long, n_all long, n_own long")
     model = stage.persisted(held.groupBy("pair").agg(F.sum("n_all").alias("n_all"), F.sum("n_own").alias("n_own")), "bigrams")
 
     def totals(number) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id",
         return a, o
 
     (w_all, w_own), (h_all, h_own) = totals(F.pmod("pair", F.lit(v + 2))), totals(F.floor(F.col("pair") / (v + 2)).cast("int"))
-    losses = model.mapInArrow(_losses(v, w_all, w_own, h_all, h_own), "pair int, own double, all double")
+    losses = model.mapInArrow(trimmed(_losses(v, w_all, w_own, h_all, h_own)), "pair int, own double, all double")
     back = held.select("pair", "place").join(losses, "pair").select(F.shiftright("place", 23).alias("chunk"), "place", F.col("own").cast("float").alias("own"), F.col("all").cast("float").alias("all"))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:

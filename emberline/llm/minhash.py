@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import stage
 from .components import components
-from .textbytes import Powers, Texts, chunks, distinct_by_doc, lists, map_text, shingles
+from .textbytes import chunks, distinct_by_doc, lists, map_text, Powers, shingles, Texts, trimmed
 
 LIST_VALUES = 32
 SKETCH = 256
@@ -124,7 +124,7 @@ def confirm(pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     ok = linked(Texts(few.column("text_a"), powers, True), Texts(few.column("text_b"), powers, True), n, num, den)
                     yield few.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.select("a", "b", "text_a", "text_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b", "s_a", "s_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _with_sketch(df: DataFrame, n: int) -> DataFrame:
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     open_lists = open_lists.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = open_lists.select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep", "comp", "size", "s", "entered")
     spread = keyed.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
-    maybe = stage.persisted(spread.mapInArrow(_across(num, den), "a long, b long").distinct(), "pairs")
+    maybe = stage.persisted(spread.mapInArrow(trimmed(_across(num, den)), "a long, b long").distinct(), "pairs")
     left = held.select(F.col("rep").alias("a"), F.col("text").alias("text_a"), F.col("s").alias("s_a"))
     right = held.select(F.col("rep").alias("b"), F.col("text").alias("text_b"), F.col("s").alias("s_b"))
     more = stage.persisted(confirm(maybe.join(left, "a").join(right, "b"), n, num, den), "links")

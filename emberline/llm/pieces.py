@@ -23,15 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbytes import chunks
+from .textbytes import chunks, trimmed
 
 SPACE = "▁"
 #: Bytes of text whose distinct parts are indexed together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Parts and pairs remembered in a task before the memory starts anew.
 REMEMBERED = 400_000
 #: Characters in an index at most, where a single part is not longer: bounds the memory of a worker.
-INDEX_CHARS = 300_000
+INDEX_CHARS = 200_000
 
 
 @dataclass
@@ -288,4 +288,4 @@ def encode_column(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 yield pa.record_batch([part.column(key), pa.array(np.diff(off), pa.int64(), mask=null), lists, pa.array(decoded, pa.string(), mask=null)], [key, "n_tokens", "token_ids", "decoded_sha256"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, token_ids array<int>, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(trimmed(run), f"`{key}` {kind}, n_tokens long, token_ids array<int>, decoded_sha256 string")

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, lines, lm_scoring, minhash, pieces, quality, sharding, stage, substrings, warc
+from . import chat, decontamination, lines, lm_scoring, minhash, oracles, pieces, quality, sharding, stage, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-HARD_TEXT = r"\### Assistant: </turn> ok"
+HARD_TEXT = oracles.HARD
 SHARDS = 24
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -79,4 +79,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_warc, op4_minhash_near_dedup, op5_line_dedup, op6_sharding, op7_quality_rules, op8_suffix_array_dedup, op9_decontamination, op10_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)

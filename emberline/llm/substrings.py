@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import stage
 from .decontamination import _in, bit_set
-from .textbytes import Powers, Texts, chunks, map_text, mix
+from .textbytes import chunks, map_text, mix, Powers, Texts, trimmed
 
 GRAM = 24
 GROUP_STRETCHES = 20_000
@@ -133,7 +133,7 @@ def _bytes(docs: DataFrame, bits: np.ndarray, width: int, gram: int) -> DataFram
                     h, d, b = zip(*out, strict=True)
                     yield pa.record_batch([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(b, pa.binary())], ["h", "digest", "bytes"])
 
-    return docs.select("text").mapInArrow(run, "h long, digest long, bytes binary")
+    return docs.select("text").mapInArrow(trimmed(run), "h long, digest long, bytes binary")
 
 
 def repeated_windows(pieces: list[bytes], width: int) -> np.ndarray:
@@ -152,7 +152,7 @@ def repeated_windows(pieces: list[bytes], width: int) -> np.ndarray:
 
     def refine(live: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Gives suffixes in live their new buckets; returns those that still share one. base: places of old buckets."""
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         first = np.ones(len(s), bool)
         first[1:] = s[1:] != s[:-1]
@@ -263,9 +263,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     held = stage.persisted(_bytes(rows, bit_set(mixed.select("h")), width, gram).join(mixed.select("h", "large"), "h"), "stretch-bytes")
 
     small = held.filter("not large").select("h", "digest", "bytes").repartition("h").sortWithinPartitions("h", "digest")
-    answers = small.mapInArrow(_sorted_groups(width), "h long, digest long, first array<int>, number array<int>")
+    answers = small.mapInArrow(trimmed(_sorted_groups(width)), "h long, digest long, first array<int>, number array<int>")
     large = held.filter("large").select("h", "digest", "bytes").dropDuplicates(["h", "digest"])
-    windows = large.mapInArrow(_windows(width), "w1 long, w2 long, h long, digest long, place int")
+    windows = large.mapInArrow(trimmed(_windows(width)), "w1 long, w2 long, h long, digest long, place int")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     counted = windows.join(twice, ["w1", "w2"]).groupBy("h", "digest").agg(F.collect_list("place").alias("first")).withColumn("number", F.transform("first", lambda _: F.lit(1)))
     answers = stage.persisted(answers.unionByName(counted), "answers")
@@ -278,4 +278,4 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     spans = ranges.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "count")).alias("r"))
     spans = spans.select("_id", "_mark", F.col("r.start").alias("first"), F.col("r.count").alias("number"))
     joined = marked.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("id", "text", "first", "number")
-    return joined.mapInArrow(_applied(width), "id long, n_bytes long, n_removed long, span_start array<long>, span_bytes array<long>, kept binary")
+    return joined.mapInArrow(trimmed(_applied(width)), "id long, n_bytes long, n_removed long, span_start array<long>, span_bytes array<long>, kept binary")

@@ -6,6 +6,7 @@ longest single text, whichever is larger. A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -128,6 +129,21 @@ def distinct_by_doc(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[new], d[new]
 
 
+def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow; memory that is free after a task goes back to the system, as idle workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 0) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about CHUNK_BYTES of text each, one text at least."""
     limit = limit or CHUNK_BYTES
@@ -151,7 +167,7 @@ def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch, Texts], pa.
                 if (out := fn(part, Texts(part.column(text), powers, lower))) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def lists(values: np.ndarray, doc: np.ndarray, n_docs: int, kind: pa.DataType) -> pa.Array:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textbytes import trimmed
+
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
 MIN_REVISIT = 100
@@ -110,7 +112,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str =
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(uri), F.lit("")).alias("uri"), body.alias("payload"), F.sha2(F.encode(body, "UTF-8"), 256).alias("digest"))
     sums = rows.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = rows.join(sums, "digest", "left").select("page_id", "uri", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
-    records = rows.mapInArrow(_write, "record binary").select(F.col("record").cast("string").alias("value"))
+    records = rows.mapInArrow(trimmed(_write), "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_PAGES).text(path)
 
 
@@ -162,7 +164,7 @@ def _reader(segmented: bool | None):
 
 def read_records(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
     """A row per record. segmented: only records with a segment number (True), or only those without (False)."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_reader(segmented), RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(_reader(segmented)), RECORD)
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per page: page_id, uri, record_type, payload_digest, refers_to, payload (null for revisits), complete."""
     columns = ["page_id", "uri", "record_type", "payload_digest", "refers_to"]
-    plain = read_records(spark, path, False).select(*columns, F.when(F.col("record_type") != "revisit", F.col("block")).alias("block")).mapInArrow(_payloads, _OUT)
+    plain = read_records(spark, path, False).select(*columns, F.when(F.col("record_type") != "revisit", F.col("block")).alias("block")).mapInArrow(trimmed(_payloads), _OUT)
     groups = read_records(spark, path, True).groupBy("origin_id").agg(
         F.first("page_id").alias("page_id"),
         F.max("uri").alias("uri"),
@@ -199,7 +201,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.max("total_length").alias("total_length"),
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"),
     )
-    cut = groups.select(*columns, "total_length", "parts").mapInArrow(_joined, _OUT)
+    cut = groups.select(*columns, "total_length", "parts").mapInArrow(trimmed(_joined), _OUT)
     return plain.unionByName(cut).withColumn("complete", (F.col("record_type") == "revisit") | F.col("payload").isNotNull())
 
 
