@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.graph import components
+
 from . import stage
-from .components import components
 from .textbytes import chunks, distinct_by_doc, lists, map_text, Powers, shingles, Texts, trimmed
 
 LIST_VALUES = 32

@@ -5,7 +5,7 @@ import re
 
 import pytest
 from emberline.llm import minhash, registry, stage
-from emberline.llm.components import components
+from emberline.operators.graph import components
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
