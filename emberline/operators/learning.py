@@ -44,7 +44,7 @@ def train(df: DataFrame, features: list[str], classes: list[str], label: str, re
     prepare_cols = [f"{f}_filled" for f in features]
     from pyspark.ml import Pipeline
 
-    prepare = Pipeline(stages=[Imputer(inputCols=features, outputCols=prepare_cols), VectorAssembler(inputCols=prepare_cols + [f"{f}_missing" for f in features], outputCol="x")]).fit(d)
+    prepare = Pipeline(stages=[Imputer(inputCols=features, outputCols=prepare_cols), VectorAssembler(inputCols=prepare_cols + [f"{f}_missing" for f in features], outputCol="_x")]).fit(d)
     fit, val = prepare.transform(d.filter(~held)), prepare.transform(d.filter(held))
     total = fit.count()
     trees, calibrators = [], []
@@ -52,7 +52,7 @@ def train(df: DataFrame, features: list[str], classes: list[str], label: str, re
         y = (F.col(label) == c).cast("double")
         n = max(fit.filter(F.col(label) == c).count(), 1)
         weight = F.when(y == 1, total / (2.0 * n)).otherwise(total / (2.0 * max(total - n, 1)))
-        tree = GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed).fit(fit.withColumns({"y": y, "w": weight}))
+        tree = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed).fit(fit.withColumns({"_y": y, "_w": weight}))
         raw = tree.transform(val).select(vector_to_array("probability")[1].alias("p"), y.alias("y"))
         iso = IsotonicRegression(featuresCol="p", labelCol="y").fit(raw)
         trees.append(tree)

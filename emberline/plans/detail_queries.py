@@ -158,7 +158,7 @@ def cover_prefetch(spark, sf_dir):
     return satellite.prefetch_points(f, f.filter("ref % 2 = 0")).agg(F.count("*").alias("cells"))
 
 
-@query("facilities", sql="SELECT ref, CASE WHEN ref % 3 = 0 THEN 0.5 END AS lc_crop FROM facilities")
+@query("facilities", sql="SELECT ref, CASE WHEN ref % 3 = 0 THEN 5e-1 END AS lc_crop FROM facilities")
 def cover_lookup(spark, sf_dir):
     f = views.facilities(spark, sf_dir)
     cache = f.filter("ref % 3 = 0").select(satellite.cover_cell("lat", "lon").alias("cell"), F.lit(0.5).alias("lc_crop")).distinct()
