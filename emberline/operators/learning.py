@@ -109,3 +109,21 @@ def shapley(model: Model, rows: DataFrame, background: DataFrame, key: str, perm
 def grouped_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """fold by a hash of the group, so that no group is on both sides."""
     return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
+
+
+def permutation_importance(model: Model, df: DataFrame, label: str, key: str, rounds: int = 5, seed: int = 0) -> DataFrame:
+    """feature and drop: how much accuracy falls when the feature's values are dealt to other rows.
+
+    Values change places along two orders by seeded hashes, joined on the rank, so each round is one join per feature.
+    """
+    base = score(model, df).agg(F.avg((F.col(label) == F.col("model_class")).cast("double"))).first()[0]
+    rows = []
+    for f in model.features:
+        total = 0.0
+        for k in range(rounds):
+            place = W.orderBy(F.xxhash64(key, F.lit(seed + k), F.lit(f)))
+            donor = df.select(F.col(f).alias("_v"), F.row_number().over(W.orderBy(key)).alias("_n"))
+            mixed = df.withColumn("_n", F.row_number().over(place)).join(donor, "_n").withColumn(f, F.col("_v")).drop("_n", "_v")
+            total += base - score(model, mixed).agg(F.avg((F.col(label) == F.col("model_class")).cast("double"))).first()[0]
+        rows.append((f, total / rounds))
+    return df.sparkSession.createDataFrame(rows, "feature string, drop double")
