@@ -31,6 +31,7 @@ PRIOR = 100.0
 CHUNK_TOKENS = 4 << 20
 #: Distinct words held before a task hands on its counts.
 HELD_WORDS = 4 << 20
+TOP_TASKS = 16
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -61,6 +62,24 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(trimmed(run), "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The n words of the highest counts, ties by hash. Each partition passes on n rows at most, TOP_TASKS tasks pass on
+    n each of those, so the last task reads n * TOP_TASKS rows however large the corpus is."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            word, count = (np.concatenate([a, batch.column(c).to_numpy()]) for a, c in ((word, "word"), (count, "count")))
+            if len(word) > 4 * n + 100_000:
+                best = np.lexsort((word, -count))[:n]
+                word, count = word[best], count[best]
+        best = np.lexsort((word, -count))[:n]
+        yield pa.record_batch([pa.array(word[best]), pa.array(count[best])], ["word", "count"])
+
+    once = counts.mapInArrow(trimmed(top), "word long, count long")
+    return once.repartition(TOP_TASKS).mapInArrow(trimmed(top), "word long, count long").orderBy(F.desc("count"), "word").limit(n)
+
+
 def sequences(docs: DataFrame, key: str, text: str, vocabulary: np.ndarray) -> DataFrame:
     """id and seq: vocabulary numbers of a text's words, two bytes each. vocabulary is sorted."""
 
@@ -147,7 +166,7 @@ def _losses(v: int, n_all: np.ndarray, n_own: np.ndarray, h_all: np.ndarray, h_o
 def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_tokens, target_loss, background_loss and score. target_ids: one column, the ids of the target."""
     kind = dict(docs.dtypes)[key]
-    top = word_counts(docs, text).orderBy(F.desc("count"), "word").limit(VOCABULARY).toArrow()
+    top = most_frequent(word_counts(docs, text), VOCABULARY).toArrow()
     vocabulary = np.sort(top.column("word").to_numpy().view(np.uint64))
     v = len(vocabulary)
     target = target_ids.toDF("id").filter("id is not null").distinct().withColumn("target", F.lit(True))
