@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .textbytes import _SPACE, Texts, map_text, mix, shingles
 
 BUCKETS = 1 << 18
-FIT_ROWS = 1000
+FIT_ROWS = 600
 THRESHOLD = 0.5
 MIN_WORDS = 50
-STEPS, RATE, DECAY = 200, 0.5, 1e-5
+STEPS, RATE, DECAY = 120, 0.5, 1e-5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
