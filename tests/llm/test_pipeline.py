@@ -46,3 +46,28 @@ def test_stages(spark):
             own = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
             assert {i: r["token_ids"] for i, r in after.items()} == {i: own.encode(r["text"]) for i, r in before.items()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == set(after)
+
+
+def small_tables(spark, path, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_hard_and_empty_tables(spark, tmp_path):
+    body = " ".join(f"word{i % 997} and{i % 13}" for i in range(60))
+    long = " ".join(f"w{i * 7919 % 100003}" for i in range(90_000))
+    docs = [(1, None, None, None, None), (None, body, "en", "s", 1), (2, "", "en", "s", 0), (3, body, "en", None, 5), (3, body, "en", None, 5), (4, long, None, "s", 9), (5, "a" * 400_000, "en", "s", 1), (6, body + " other", "en", "t", 2), (7, "\n\n \t\n", "en", "s", 1)]
+    hard = small_tables(spark, tmp_path / "hard", docs, [(1, 1, 0), (None, 0, None), (4, None, 1), (3, 1, 0)], [(1, None), (None, "one two three four"), (2, "")])
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in corpus_pipeline.run(spark, hard).collect())
+    assert got == [(False, 3), (False, 3), (False, 4), (True, 0)]
+    from emberline.llm import registry
+
+    for name in ("op2_lm_scoring", "op4_minhash_near_dedup", "op5_line_dedup", "op6_sharding", "op7_quality_rules", "op8_suffix_array_dedup", "op10_sentencepiece"):
+        assert registry.QUERIES[name](spark, hard).count() == len(docs), name
+    assert registry.QUERIES["op9_decontamination"](spark, hard).count() == 0
+    empty = small_tables(spark, tmp_path / "empty", [], [], [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    for name in ("op2_lm_scoring", "op4_minhash_near_dedup", "op5_line_dedup", "op6_sharding", "op7_quality_rules", "op8_suffix_array_dedup", "op9_decontamination", "op10_sentencepiece"):
+        assert registry.QUERIES[name](spark, empty).count() == 0, name
