@@ -36,7 +36,7 @@ GRAM = 24
 GROUP_STRETCHES = 20_000
 LONG_STRETCH = 1 << 20
 #: Bytes that are suffix-sorted together, whole groups at a time.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -122,7 +122,7 @@ def _bytes(docs: DataFrame, bits: np.ndarray, width: int, gram: int) -> DataFram
                 use = _in(bits, value)
                 value, start, count = value[use], start[use], count[use]
                 digest = _digests(t, start, count, width)
-                if len(seen) > 500_000:
+                if len(seen) > 150_000:
                     seen = set()
                 out = []
                 for i, key in enumerate(zip(value.view(np.int64).tolist(), digest.view(np.int64).tolist(), strict=True)):
