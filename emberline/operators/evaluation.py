@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberline.operators import ordering
+
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(truth, predicted).agg(F.count("*").alias("n"))
@@ -34,18 +35,17 @@ def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int =
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve by ranks, ties counting half. Scores are grouped first, so the running sum is short."""
+    """Area under the ROC curve by ranks, ties counting half. Scores are grouped first."""
     g = df.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("n"))
-    below = F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    part = g.withColumn("_below", F.coalesce(below, F.lit(0)))
+    part = ordering.running(g, [score], {"_below": "n"})
     return part.agg(F.try_divide(F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
 def threshold(df: DataFrame, score: str, alarms: int) -> DataFrame:
     """The smallest score that at most so many rows reach; ties are never split."""
     g = df.groupBy(score).agg(F.count("*").alias("n"))
-    reach = F.sum("n").over(W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0))
-    return g.withColumn("_reach", reach).filter(F.col("_reach") <= alarms).agg(F.min(score).alias("threshold"))
+    above = ordering.running(g, [F.desc(score)], {"_above": "n"})
+    return above.filter(F.col("_above") + F.col("n") <= alarms).agg(F.min(score).alias("threshold"))
 
 
 def bootstrap(df: DataFrame, group: str, truth: str, predicted: str, rounds: int = 400, seed: int = 7) -> DataFrame:

@@ -75,11 +75,17 @@ def held_out(support: list[dict], enough: int) -> list[str]:
 
 
 def incident_windows(incidents: DataFrame, det: DataFrame) -> DataFrame:
-    """Per incident (incident_id, event_date, lat, lon, radius_km): event and baseline statistics and a status."""
+    """Per incident (incident_id, event_date, lat, lon, radius_km up to 100): event and baseline statistics and a status.
+
+    Incidents are listed under each day of their window and the degree cells around them: an equi join on day and cell.
+    """
     reach = (F.col("radius_km") + 0.5) * 1000
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     i = incidents.select("incident_id", "event_date", F.col("lat").alias("i_lat"), F.col("lon").alias("i_lon"), "radius_km")
-    d = det.withColumn("day", F.to_date("acq"))
-    near = i.join(d, d.day.between(F.date_sub("event_date", 60), F.date_add("event_date", 2)) & (F.abs(d.lat - F.col("i_lat")) <= reach / 110_000) & (geo.haversine_m("lat", "lon", "i_lat", "i_lon") <= reach))
+    listed = i.withColumn("day", F.explode(F.sequence(F.date_sub("event_date", 60), F.date_add("event_date", 2)))).withColumn("_s", around)
+    listed = listed.withColumns({"_cy": F.floor("i_lat") + F.col("_s.y"), "_cx": F.floor("i_lon") + F.col("_s.x")}).drop("_s")
+    d = det.withColumns({"day": F.to_date("acq"), "_cy": F.floor("lat"), "_cx": F.floor("lon")})
+    near = d.join(listed, ["day", "_cy", "_cx"]).filter(geo.haversine_m("lat", "lon", "i_lat", "i_lon") <= reach)
     event, base = F.col("day") >= F.date_sub("event_date", 1), F.col("day") <= F.date_sub("event_date", 8)
     g = near.groupBy("incident_id").agg(
         F.count_if(event).alias("event_detections"), F.max(F.when(event, F.col("frp"))).alias("event_max_frp"), F.min(F.when(event, geo.haversine_m("lat", "lon", "i_lat", "i_lon") / 1000)).alias("event_nearest_km"),

@@ -115,12 +115,20 @@ def _brute_nearest(points: DataFrame, facilities: DataFrame, key: str) -> DataFr
     return points.mapInArrow(run, f"{key} {kinds[key]}, ref {kinds['ref']}, distance_m double")
 
 
-def first_area(points: DataFrame, areas: DataFrame, key: str, inside: Column | None = None) -> DataFrame:
-    """points with the columns area_id and area_name of the containing area with the lowest id, null outside all.
+def containing(points: DataFrame, areas: DataFrame, inside: Column | None = None) -> DataFrame:
+    """points (lon, lat, ...) with every area (rings, xmin, ymin, xmax, ymax, ...) that holds them.
 
-    areas: area_id, area_name, rings, xmin, ymin, xmax, ymax. The box test comes first; the ray test runs on its hits.
+    Areas are listed under each whole degree cell of their box, so this is an equi join on cells; the box and the ray
+    test refine it.
     """
+    cells = lambda lo, hi: F.sequence(F.floor(lo), F.floor(hi))
+    listed = areas.withColumn("_cx", F.explode(cells("xmin", "xmax"))).withColumn("_cy", F.explode(cells("ymin", "ymax")))
     box = F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax"))
     test = inside if inside is not None else geo.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))
-    hit = points.select(key, "lat", "lon").join(areas, box & test).groupBy(key).agg(F.min(F.struct("area_id", "area_name")).alias("m"))
+    return points.withColumns({"_cx": F.floor("lon"), "_cy": F.floor("lat")}).join(listed, ["_cx", "_cy"]).filter(box & test).drop("_cx", "_cy")
+
+
+def first_area(points: DataFrame, areas: DataFrame, key: str, inside: Column | None = None) -> DataFrame:
+    """points with the columns area_id and area_name of the containing area with the lowest id, null outside all."""
+    hit = containing(points.select(key, "lat", "lon"), areas, inside).groupBy(key).agg(F.min(F.struct("area_id", "area_name")).alias("m"))
     return points.join(hit, key, "left").withColumns({"area_id": F.col("m.area_id"), "area_name": F.col("m.area_name")}).drop("m")

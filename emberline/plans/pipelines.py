@@ -99,10 +99,8 @@ def areas_inside(parent: DataFrame, child: DataFrame) -> DataFrame:
     """Child areas whose centroid lies in a parent area: parent_id and area_id."""
     from emberline.functions import geo
 
-    c = child.withColumn("_c", geo.ring_centroid(F.col("rings")[0])).select(F.col("area_id").alias("child_id"), F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
-    p = parent.select(F.col("area_id").alias("parent_id"), "rings", "xmin", "ymin", "xmax", "ymax")
-    test = F.col("_x").between(F.col("xmin"), F.col("xmax")) & F.col("_y").between(F.col("ymin"), F.col("ymax"))
-    return c.join(p, test & geo.in_polygon(F.col("_x"), F.col("_y"), F.col("rings"))).select("parent_id", "child_id")
+    c = child.withColumn("_c", geo.ring_centroid(F.col("rings")[0])).select(F.col("area_id").alias("child_id"), F.col("_c.x").alias("lon"), F.col("_c.y").alias("lat"))
+    return spatial.containing(c, parent).select(F.col("area_id").alias("parent_id"), "child_id")
 
 
 #: Words that name no place or facility.

@@ -96,7 +96,8 @@ def admin_area_join(spark, sf_dir):
 def point_in_polygon(spark, sf_dir):
     """The ray test itself, away from edges."""
     areas = views.admin_areas(spark, sf_dir)
-    d = views.detections(spark, sf_dir).join(areas, (F.col("lon") > F.col("xmin")) & (F.col("lon") < F.col("xmax")) & (F.col("lat") > F.col("ymin")) & (F.col("lat") < F.col("ymax")) & geo.in_polygon(F.col("lon"), F.col("lat"), F.col("rings")))
+    edge = (F.col("lon") > F.col("xmin")) & (F.col("lon") < F.col("xmax")) & (F.col("lat") > F.col("ymin")) & (F.col("lat") < F.col("ymax"))
+    d = spatial.containing(views.detections(spark, sf_dir), areas).filter(edge)
     return d.groupBy("area_name").agg(F.count("*").alias("n"))
 
 
