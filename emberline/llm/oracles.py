@@ -29,4 +29,15 @@ OP5 = """WITH l AS (SELECT doc_id, text, source, i, parts[i] AS line, trim(parts
   SELECT doc_id, n::bigint AS n_lines, (CASE WHEN gone > 0 AND length(kept) >= 0.5 * length(text) THEN gone ELSE 0 END)::bigint AS n_removed,
     (CASE WHEN gone > 0 AND length(kept) >= 0.5 * length(text) THEN length(kept) ELSE length(text) END)::bigint AS kept_chars, sha256(CASE WHEN gone > 0 AND length(kept) >= 0.5 * length(text) THEN kept ELSE text END) AS kept_sha256 FROM k"""
 
-SQL = {"op1_chat_formatting": OP1, "op3_warc": OP3, "op4_minhash_near_dedup": OP4, "op5_line_dedup": OP5}
+#: The published loop with 128-bit integers; CRC-32 byte by byte over a table made by its rule.
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_TABLE = "SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8"
+OP6 = f"""WITH RECURSIVE crc(i, k, c) AS (SELECT range::bigint, 0, range::bigint FROM range(256) UNION ALL SELECT i, k + 1, {_STEP} FROM crc WHERE k < 8), tab AS ({_TABLE}),
+  d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::bigint + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  sums AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, size - 8), lambda i: ('0x' || substr(h, (2 * i + 1)::integer, 2))::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab),
+  j(doc_id, n, key, b, j) AS (SELECT doc_id, n, doc_id::hugeint, -1::bigint, 0::bigint FROM documents, (VALUES (24), (25)) v(n) UNION ALL
+    SELECT doc_id, n, (key * 2862933555777941757 + 1) % 18446744073709551616, j, floor((j + 1) * (2147483648e0 / (((key * 2862933555777941757 + 1) % 18446744073709551616 // 8589934592) + 1)::double))::bigint FROM j WHERE j < n),
+  s AS (SELECT doc_id, max(CASE WHEN n = 24 THEN b END)::integer AS shard, max(CASE WHEN n = 25 THEN b END)::integer AS grown_shard FROM j GROUP BY 1)
+  SELECT s.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY (s.doc_id % 256 + text_crc32) % 256, s.doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s JOIN sums ON s.doc_id = sums.doc_id"""
+
+SQL = {"op1_chat_formatting": OP1, "op3_warc": OP3, "op4_minhash_near_dedup": OP4, "op5_line_dedup": OP5, "op6_sharding": OP6}

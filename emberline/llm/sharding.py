@@ -57,10 +57,10 @@ def jump(key: Column, shards: int) -> Column:
 def assign(df: DataFrame, key: str, text: str, shards: int) -> DataFrame:
     """A row for each input row: key, size, text_crc32, shard, slot, and the shard if one more were added."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    narrow = df.select(F.col(key).alias("key"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), jump(F.col(key), shards).alias("j"))
+    narrow = df.select(F.col(key).cast("long").alias("key"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), jump(F.col(key), shards).alias("j"))
     narrow = narrow.select(
         "key", "size", "text_crc32", F.col("j.shard").alias("shard"), F.when(F.col("j.next") == shards, F.lit(shards)).otherwise(F.col("j.shard")).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(SUB_BUCKETS)).cast("int").alias("sub"),
+        F.pmod(F.pmod(F.coalesce("key", F.lit(0)), F.lit(SUB_BUCKETS)) + F.col("text_crc32"), F.lit(SUB_BUCKETS)).cast("int").alias("sub"),
     )
     rows = stage.persisted(narrow, "sharding")
     before = W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
