@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import stage
-from .textbytes import lists, map_text, shingles, Texts, trimmed
+from .textbytes import map_text, shingles, Texts, trimmed
 
 SEED = 3
 SEED_SHARE = 0.75

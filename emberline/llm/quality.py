@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import _SPACE, Texts, map_text, mix, shingles
+from .textbytes import _SPACE, Texts, map_text, mix
 
 BUCKETS = 1 << 18
 FIT_ROWS = 600

@@ -1,7 +1,5 @@
 """Each stage against a brute-force version on its own input."""
 
-import re
-
 import public_tokenizers as P
 import sentencepiece
 
