@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import math
-import os
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
