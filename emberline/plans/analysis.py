@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline import staging
 from emberline.functions import geo
 from emberline.operators import baseline, heat_sources, learning, spatial
 
@@ -31,7 +32,7 @@ def analyse(det: DataFrame, facilities: DataFrame, areas: DataFrame, month: Colu
     baseline and model are optional; without them their columns are null."""
     d = det if region is None else spatial.first_area(det, region, "detection_id").filter("area_id is not null").drop("area_id", "area_name")
     d = heat_sources.cluster(d)
-    s = with_facility(heat_sources.summarise(d, window_days), facilities)
+    s = with_facility(staging.persisted(heat_sources.summarise(d, window_days), "sources"), facilities)
     if cover is not None:
         s = s.join(cover, "cluster", "left")
     for c, k in (("lc_crop", "double"), ("lc_vegetation", "double"), ("lc_bare", "double"), ("lc_built", "double"), ("lc_dominant", "string")):

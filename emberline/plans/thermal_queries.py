@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline import staging
 from emberline.functions import geo, ids
 from emberline.operators import alerts, baseline, detections, heat_sources, spatial
 from emberline.plans import views
@@ -212,6 +213,7 @@ def stable_ids(spark, sf_dir):
 def matched_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries with facility, land cover (a function of the cluster number) and stable id."""
     s = heat_sources.with_stable_ids(heat_sources.summarise(heat_sources.cluster(views.detections(spark, sf_dir)), 14))
+    s = staging.persisted(s, "sources")  # a row per source, read by the match and by the join after it
     fac = views.facilities(spark, sf_dir).select("ref", F.col("name").alias("site_name"), F.col("kind").alias("site_kind"))
     m = spatial.match_facilities(s, views.facilities(spark, sf_dir), "cluster").select("cluster", "ref").join(fac, "ref")
     prior = F.create_map(*[F.lit(x) for k, (p, _) in heat_sources.KINDS.items() for x in (k, p)])
