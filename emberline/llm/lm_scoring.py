@@ -1,15 +1,15 @@
 """Cross-entropy difference: a target and a background bigram model score every document.
 
-Both models are bigrams with Dirichlet smoothing by their own unigrams and share one vocabulary: the VOCABULARY words
-that are most frequent in the background (ties by hash), one class for all other words, and the start of a text. The
-background counts all documents, the target those given. Words are runs of bytes other than ASCII white space,
-lower-cased for A-Z. Per token, loss is -ln p; score is the mean target loss less the mean background loss, so low
-scores are like the target.
-
-Counts are gathered exactly: texts become sequences of vocabulary numbers, in chunks of about CHUNK_TOKENS; each chunk
-gives every bigram it holds once, counts are summed by bigram, and the two losses go back to the chunks by the same
-rows. Only vocabulary-sized tables reach the driver. Texts without words get null losses. Rows that repeat an id all
-count and all get a score; a null id is never a target. Other columns are not read.
+Both models are bigrams with Dirichlet smoothing by their own unigrams and share one vocabulary: all words of all
+documents, and the start of a text. The background counts all documents, the target those given. Words are runs of
+bytes other than ASCII white space, lower-cased for A-Z. Per token, loss is -ln p; score is the mean target loss less
+the mean background loss, so low scores are like the target.
+
+Counts are exact and keyed by 64-bit hashes: texts are packed into chunks of about CHUNK_TOKENS with a dictionary of
+their own; each chunk gives every word, last word and bigram it holds once, counts are summed by key over all chunks,
+and the sums of the keys that other chunks hold too go back to the chunks. Only totals reach the driver. Texts without
+words get null losses. Rows that repeat an id all count and all get a score; a null id is never a target. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -20,78 +20,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .textbytes import chunks, map_text, Powers, Texts, trimmed
+from .textbytes import map_text, mix, Texts, trimmed
 from . import stage
 
-VOCABULARY = 16_384
+#: Words that can be told apart, one for each hash; no word is merged with others.
+VOCABULARY = 1 << 64
 #: Weight of the unigram in the smoothed bigram.
 PRIOR = 100.0
 CHUNK_TOKENS = 4 << 20
-#: Distinct words held before a task hands on its counts.
-HELD_WORDS = 4 << 20
-TOP_TASKS = 16
+#: Bits of an entry's number in its chunk, and of a chunk's number in its task.
+PLACE_BITS, CHUNK_BITS = 31, 12
+_FIRST, _SECOND, _LAST = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+_START = np.uint64(0x8CB92BA72F3D8DD7)
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """word (hash) and count, over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        word, count, new, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def merged():
-            values, at = np.unique(np.concatenate([word, *(w for w, _ in new)]), return_inverse=True)
-            return values, np.bincount(at, np.concatenate([count, *(c for _, c in new)]), len(values)).astype(np.int64)
-
-        for batch in batches:
-            for part in chunks(batch, text):
-                w, c = np.unique(Texts(part.column(text), powers, True).word_hashes()[0], return_counts=True)
-                new.append((w, c))
-                size += len(w)
-                if size > len(word) + (1 << 20):
-                    (word, count), new, size = merged(), [], 0
-                    if len(word) > HELD_WORDS:
-                        yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(count)], ["word", "count"])
-                        word, count = word[:0], count[:0]
-        word, count = merged()
-        for i in range(0, len(word), 1 << 17):
-            yield pa.record_batch([pa.array(word[i : i + (1 << 17)].view(np.int64)), pa.array(count[i : i + (1 << 17)])], ["word", "count"])
-
-    return docs.select(text).mapInArrow(trimmed(run), "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
-
-
-def most_frequent(counts: DataFrame, n: int) -> DataFrame:
-    """The n words of the highest counts, ties by hash. Each partition passes on n rows at most, TOP_TASKS tasks pass on
-    n each of those, so the last task reads n * TOP_TASKS rows however large the corpus is."""
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            word, count = (np.concatenate([a, batch.column(c).to_numpy()]) for a, c in ((word, "word"), (count, "count")))
-            if len(word) > 4 * n + 100_000:
-                best = np.lexsort((word, -count))[:n]
-                word, count = word[best], count[best]
-        best = np.lexsort((word, -count))[:n]
-        yield pa.record_batch([pa.array(word[best]), pa.array(count[best])], ["word", "count"])
-
-    once = counts.mapInArrow(trimmed(top), "word long, count long")
-    return once.repartition(TOP_TASKS).mapInArrow(trimmed(top), "word long, count long").orderBy(F.desc("count"), "word").limit(n)
-
-
-def sequences(docs: DataFrame, key: str, text: str, vocabulary: np.ndarray) -> DataFrame:
-    """id and seq: vocabulary numbers of a text's words, two bytes each. vocabulary is sorted."""
+def sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id and seq: hashes of a text's words, eight bytes each."""
 
     def rows(part: pa.RecordBatch, t: Texts) -> pa.RecordBatch:
         word, doc = t.word_hashes()
-        if len(vocabulary):
-            at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
-            number = np.where(vocabulary[at] == word, at, len(vocabulary)).astype(np.uint16)
-        else:
-            number = np.zeros(len(word), np.uint16)
-        off = 2 * np.searchsorted(doc, np.arange(t.n + 1)).astype(np.int32)
-        seq = pa.Array.from_buffers(pa.binary(), t.n, [None, pa.py_buffer(off), pa.py_buffer(number)])
+        off = 8 * np.searchsorted(doc, np.arange(t.n + 1)).astype(np.int64)
+        seq = pa.Array.from_buffers(pa.large_binary(), t.n, [None, pa.py_buffer(off), pa.py_buffer(word)]).cast(pa.binary())
         return pa.record_batch([part.column("id"), seq], ["id", "seq"])
 
     return map_text(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", rows, f"id {dict(docs.dtypes)[key]}, seq binary", lower=True)
@@ -99,19 +51,21 @@ def sequences(docs: DataFrame, key: str, text: str, vocabulary: np.ndarray) -> D
 
 def _packed(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, size = TaskContext.get().partitionId() << 20, [], 0
+        number, rows, size = TaskContext.get().partitionId() << CHUNK_BITS, [], 0
 
         def out():
             ids, seqs, target = zip(*rows, strict=True)
-            seq = np.frombuffer(b"".join(seqs), np.uint16)
-            sizes = [len(s) // 2 for s in seqs]
-            one = [pa.array([number], pa.int64()), pa.array([list(ids)], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int32())), pa.array([list(target)], pa.list_(pa.bool_())), pa.array([seq.tobytes()], pa.binary())]
-            return pa.record_batch(one, ["chunk", "ids", "sizes", "target", "seq"])
+            words, seq = np.unique(np.frombuffer(b"".join(seqs), np.uint64), return_inverse=True)
+            sizes, own = np.array([len(s) // 8 for s in seqs], np.int64), np.array(target, bool)
+            planes = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # equal bytes stand together
+            lists = [pa.array([list(x)], pa.list_(k)) for x, k in ((ids, kind), (sizes, pa.int32()), (target, pa.bool_()))]
+            totals = [pa.array([int(x)], pa.int64()) for x in (sizes.sum(), sizes[own].sum(), (sizes > 0).sum(), (sizes[own] > 0).sum())]
+            return pa.record_batch([pa.array([number], pa.int64()), *lists, pa.array([words.tobytes()], pa.binary()), pa.array([planes], pa.binary()), *totals], PACKED)
 
         for batch in batches:
             for i, s, t in zip(*(batch.column(c) for c in ("id", "seq", "target")), strict=True):
                 rows.append((i.as_py(), s.as_py(), t.as_py()))
-                size += len(s.as_py()) // 2
+                size += len(s.as_py()) // 8
                 if size >= CHUNK_TOKENS or len(rows) >= CHUNK_TOKENS // 8:
                     yield out()
                     number, rows, size = number + 1, [], 0
@@ -121,83 +75,85 @@ def _packed(kind: pa.DataType):
     return run
 
 
-def _bigrams(seq: bytes, sizes: list[int], v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each bigram (history * (v + 2) + word) and the text it is in."""
-    word = np.frombuffer(seq, np.uint16).astype(np.int32)
-    size = np.asarray(sizes, np.int64)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[(np.cumsum(size) - size)[size > 0]] = v + 1
-    return before * np.int32(v + 2) + word, np.repeat(np.arange(len(size)), size)
+PACKED = ["chunk", "ids", "sizes", "target", "words", "seq", "n_all", "n_own", "texts_all", "texts_own"]
 
 
-def _counted(v: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                chunk, sizes, target, seq = (batch.column(c)[k].as_py() for c in ("chunk", "sizes", "target", "seq"))
-                pair, doc = _bigrams(seq, sizes, v)
-                unique, at = np.unique(pair, return_inverse=True)
-                all_, own = np.bincount(at, minlength=len(unique)), np.bincount(at[np.asarray(target, bool)[doc]], minlength=len(unique))
-                place = (chunk << 23) + np.arange(len(unique))
-                for i in range(0, len(unique), 1 << 17):
-                    j = slice(i, i + (1 << 17))
-                    yield pa.record_batch([pa.array(unique[j], pa.int32()), pa.array(place[j], pa.int64()), pa.array(all_[j], pa.int64()), pa.array(own[j], pa.int64())], ["pair", "place", "n_all", "n_own"])
+class Entries:
+    """What a chunk counts, in this order: its words, the same as last words of texts (other chunks may have them), its bigrams."""
 
-    return run
+    def __init__(self, row: dict[str, pa.Scalar]) -> None:
+        words, self.size = np.frombuffer(row["words"].as_py(), np.uint64), np.asarray(row["sizes"].values, np.int64)
+        seq = np.frombuffer(row["seq"].as_py(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        target = np.array(row["target"].as_py(), bool)
+        own, n = target[self.doc], len(words)
+        self.n_words, stop = n, np.cumsum(self.size)
+        before = np.empty_like(seq)
+        before[1:] = seq[:-1]
+        before[(stop - self.size)[self.size > 0]] = n
+        pair, self.at = np.unique(before * (n + 1) + seq, return_inverse=True)
+        self.history, self.word = pair // (n + 1), pair % (n + 1)
+        end = stop[self.size > 0] - 1
+        parts = ((seq, own, n), (seq[end], own[end], n), (self.at, own, len(pair)))
+        self.n_all = np.concatenate([np.bincount(x, minlength=k) for x, _, k in parts])
+        self.n_own = np.concatenate([np.bincount(x[o], minlength=k) for x, o, k in parts])
+        h = np.append(words, _START)
+        self.key = np.concatenate([words, mix(words * _LAST), mix(h[self.history] * _FIRST + words[self.word] * _SECOND)])
 
 
-def _losses(v: int, n_all: np.ndarray, n_own: np.ndarray, h_all: np.ndarray, h_own: np.ndarray):
-    """n_*: counts of each word; h_*: of each history. The last two numbers are other words and the start."""
+def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
+    for k in range(batch.num_rows):
+        yield {c: batch.column(c)[k] for c in batch.schema.names}
 
-    def p(both: np.ndarray, h: np.ndarray, w: np.ndarray, words: np.ndarray, histories: np.ndarray) -> np.ndarray:
-        own = (words[w] + 1) / (words.sum() + v + 1)
-        return -np.log((both + PRIOR * own) / (histories[h] + PRIOR))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair, a, o = (batch.column(c).to_numpy() for c in ("pair", "n_all", "n_own"))
-            h, w = pair // (v + 2), pair % (v + 2)
-            yield pa.record_batch([batch.column("pair"), pa.array(p(o, h, w, n_own, h_own)), pa.array(p(a, h, w, n_all, h_all))], ["pair", "own", "all"])
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in _rows(batch):
+            e = Entries(row)
+            place = (row["chunk"].as_py() << PLACE_BITS) + np.arange(len(e.key))
+            for i in range(0, len(place), 1 << 17):
+                j = slice(i, i + (1 << 17))
+                yield pa.record_batch([pa.array(e.key[j].view(np.int64)), pa.array(place[j]), pa.array(e.n_all[j]), pa.array(e.n_own[j])], ["key", "place", "n_all", "n_own"])
 
-    return run
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for w in batch.column("words"):
+            yield pa.record_batch([pa.array(np.frombuffer(w.as_py(), np.int64))], ["word"])
+
+
+def _loss(e: Entries, count: np.ndarray, v: int, n: int, texts: int) -> np.ndarray:
+    """Loss of each bigram; count: of the entries, over all chunks. A word is a history where it is not the last."""
+    words, last, both = np.split(count, [e.n_words, 2 * e.n_words])
+    histories = np.append(words - last, texts)
+    return -np.log((both + PRIOR * (words[e.word] + 1) / (n + v + 1)) / (histories[e.history] + PRIOR))
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_tokens, target_loss, background_loss and score. target_ids: one column, the ids of the target."""
     kind = dict(docs.dtypes)[key]
-    top = most_frequent(word_counts(docs, text), VOCABULARY).toArrow()
-    vocabulary = np.sort(top.column("word").to_numpy().view(np.uint64))
-    v = len(vocabulary)
     target = target_ids.toDF("id").filter("id is not null").distinct().withColumn("target", F.lit(True))
-    flagged = sequences(docs, key, text, vocabulary).join(target, "id", "left").select("id", "seq", F.coalesce("target", F.lit(False)).alias("target"))
+    flagged = sequences(docs, key, text).join(target, "id", "left").select("id", "seq", F.coalesce("target", F.lit(False)).alias("target"))
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    packed = stage.persisted(flagged.mapInArrow(trimmed(_packed(arrow)), f"chunk long, ids array<{kind}>, sizes array<int>, target array<boolean>, seq binary"), "sequences")
-    held = packed.select("chunk", "sizes", "target", "seq").mapInArrow(trimmed(_counted(v)), "pair int, place long, n_all long, n_own long")
-    model = stage.persisted(held.groupBy("pair").agg(F.sum("n_all").alias("n_all"), F.sum("n_own").alias("n_own")), "bigrams")
-
-    def totals(number) -> tuple[np.ndarray, np.ndarray]:
-        got = model.groupBy(number.alias("k")).agg(F.sum("n_all").alias("a"), F.sum("n_own").alias("o")).toArrow()
-        a, o = np.zeros(v + 2), np.zeros(v + 2)
-        a[got.column("k").to_numpy()], o[got.column("k").to_numpy()] = got.column("a").to_numpy(), got.column("o").to_numpy()
-        return a, o
-
-    (w_all, w_own), (h_all, h_own) = totals(F.pmod("pair", F.lit(v + 2))), totals(F.floor(F.col("pair") / (v + 2)).cast("int"))
-    losses = model.mapInArrow(trimmed(_losses(v, w_all, w_own, h_all, h_own)), "pair int, own double, all double")
-    back = held.select("pair", "place").join(losses, "pair").select(F.shiftright("place", 23).alias("chunk"), "place", F.col("own").cast("float").alias("own"), F.col("all").cast("float").alias("all"))
+    packed = stage.persisted(flagged.mapInArrow(trimmed(_packed(arrow)), f"chunk long, ids array<{kind}>, sizes array<int>, target array<boolean>, words binary, seq binary, n_all long, n_own long, texts_all long, texts_own long"), "sequences")
+    n_all, n_own, texts_all, texts_own = packed.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in PACKED[-4:]]).first()
+    v = packed.select("words").mapInArrow(trimmed(_words), "word long").distinct().count()
+    chunk = packed.select(*PACKED[:-4])
+    held = chunk.mapInArrow(trimmed(_entries), "key long, place long, n_all long, n_own long")
+    same = W.partitionBy("key")
+    summed = held.select("place", F.sum("n_all").over(same).alias("n_all"), F.sum("n_own").over(same).alias("n_own"), F.count("*").over(same).alias("chunks"))
+    back = summed.filter("chunks > 1").select(F.shiftright("place", PLACE_BITS).alias("chunk"), "place", "n_all", "n_own")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, sizes, seq = (left.column(c)[0] for c in ("ids", "sizes", "seq"))
-        pair, doc = _bigrams(seq.as_py(), sizes.as_py(), v)
-        at = np.unique(pair, return_inverse=True)[1]
-        order = np.argsort(right.column("place").to_numpy())
-        n = np.asarray(sizes.as_py(), np.int64)
+        row = {c: left.column(c)[0] for c in left.column_names}
+        e = Entries(row)
+        at = right.column("place").to_numpy() & ((1 << PLACE_BITS) - 1)
+        e.n_all[at], e.n_own[at] = right.column("n_all").to_numpy(), right.column("n_own").to_numpy()
         means = []
-        for c in ("own", "all"):
-            value = right.column(c).to_numpy()[order].astype(np.float64)[at] if len(pair) else np.zeros(0)
-            means.append(np.bincount(doc, value, len(n)) / np.maximum(n, 1))
-        empty = n == 0
-        return pa.table({"id": pa.array(ids.as_py(), arrow), "n_tokens": pa.array(n), "target_loss": pa.array(means[0], mask=empty), "background_loss": pa.array(means[1], mask=empty), "score": pa.array(means[0] - means[1], mask=empty)})
+        for loss in (_loss(e, e.n_own, v, n_own, texts_own), _loss(e, e.n_all, v, n_all, texts_all)):
+            means.append(np.bincount(e.doc, loss[e.at], len(e.size)) / np.maximum(e.size, 1))
+        empty = e.size == 0
+        return pa.table({"id": pa.array(row["ids"].as_py(), arrow), "n_tokens": pa.array(e.size), "target_loss": pa.array(means[0], mask=empty), "background_loss": pa.array(means[1], mask=empty), "score": pa.array(means[0] - means[1], mask=empty)})
 
     schema = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return packed.select("chunk", "ids", "sizes", "seq").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, schema)
+    return chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, schema)

@@ -60,3 +60,16 @@ def test_few_words_in_the_vocabulary(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a a a b b c d"), (2, "a b x y z")], "doc_id long, text string")
     rows = lm.score_documents(df, spark.createDataFrame([(1,)], "k long")).collect()
     assert sorted(r["n_tokens"] for r in rows) == [5, 7] and all(r["target_loss"] > 0 for r in rows)
+
+
+def test_rare_words_are_told_apart(spark):
+    """20,200 words, most of them once: a vocabulary of fixed size gave documents 0 and 1 the same losses."""
+    data = [(i, " ".join(f"w{100 * i + k}" for k in range(100))) for i in range(200)] + [(200 + i, " ".join(f"w{k}" for k in range(50))) for i in range(5)]
+    data += [(300, " ".join(f"w{20_000 + k}" for k in range(200))), (301, " ".join(f"w{100 + k}" for k in range(50)))]
+    target = {0, 2, 200, 201}
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r["id"]: r for r in lm.score_documents(df, spark.createDataFrame([(i,) for i in target], "k long")).collect()}
+    want = brute(data, target, 20_200)
+    for i, (n, own, all_) in want.items():
+        assert got[i]["n_tokens"] == n and got[i]["target_loss"] == pytest.approx(own, rel=1e-9) and got[i]["background_loss"] == pytest.approx(all_, rel=1e-9), i
+    assert got[0]["score"] < got[1]["score"]
