@@ -4,8 +4,8 @@ Words are runs of ASCII letters and digits and of bytes above 127, lower-cased f
 are aligned in segments that overlap by half. The seeds of a segment are the rarest SEED_SHARE of its distinct SEED
 word n-grams, by their count over all documents: a rank inside the segment, so a passage that leaked into a third of
 all documents keeps its seeds. Documents are read once: runs of n-grams that are in the benchmark are kept with the
-words around them. The first seed of each run and every EVERY-th after it join the seed table, and each passage found
-is aligned with the segment (match +1, mismatch and gap -1). The score is the best local alignment over the segment's
+words around them. All distinct seeds of a run join the seed table; the words are attached to the distinct pairs of run
+and segment, and each pair is aligned (match +1, mismatch and gap -1). The score is the best local alignment over the segment's
 length; MIN_SCORE is reached by copies with about one word in five replaced.
 
 What is broadcast is a bit set of fixed size; it only spares work, the join decides. A run longer than RUN_WORDS is cut
@@ -24,12 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import stage
-from .textbytes import map_text, shingles, Texts, trimmed
+from .textbytes import distinct_by_doc, map_text, shingles, Texts, trimmed
 
 SEED = 3
 SEED_SHARE = 0.75
 SEGMENT = 128
-EVERY = 8
 RUN_WORDS = 1024
 GAP_WORDS = 8
 MIN_SCORE = 0.5
@@ -128,7 +127,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(h), pa.array(n)], ["h", "n"])
 
 
-def _sampled(bits: np.ndarray):
+def _seeds(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column("grams")
@@ -136,10 +135,8 @@ def _sampled(bits: np.ndarray):
             row = np.repeat(np.arange(batch.num_rows), col.value_lengths().to_numpy())
             seed = _in(bits, h.view(np.uint64))
             h, row = h[seed], row[seed]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = rank % EVERY == 0
-            took = pa.array(row[keep])
-            yield pa.record_batch([batch.column("doc_id").take(took), pa.array(h[keep]), batch.column("words").take(took)], ["doc_id", "h", "words"])
+            h, row = distinct_by_doc(h, row)
+            yield pa.record_batch([batch.column("run").take(pa.array(row)), pa.array(h)], ["run", "h"])
 
     return run
 
@@ -178,13 +175,14 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """doc_id, item_id and score of each document that holds an item."""
     parts = stage.persisted(segments(items, item_key, item_text), "segments")
     grams = parts.select("item_id", "part", F.size("grams").alias("n"), F.explode("grams").alias("h"))
-    found = stage.persisted(passages(docs, key, text, bit_set(grams)), "passages")
+    found = stage.persisted(passages(docs, key, text, bit_set(grams)).withColumn("run", F.monotonically_increasing_id()), "passages")
     counts = found.select("grams").mapInArrow(trimmed(_counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("count"))
     by_count = W.partitionBy("item_id", "part").orderBy("count", "h")
     seeds = grams.join(counts, "h").withColumn("rank", F.row_number().over(by_count) + F.col("n") - F.count("*").over(W.partitionBy("item_id", "part")))
     seeds = stage.persisted(seeds.filter(F.col("rank") <= F.ceil(F.col("n") * SEED_SHARE)).select("item_id", "part", "h"), "seeds")
-    picked = found.mapInArrow(trimmed(_sampled(bit_set(seeds))), "doc_id long, h long, words array<int>")
-    named = picked.join(seeds, "h").join(parts.select("item_id", "part", F.col("words").alias("item_words")), ["item_id", "part"])
+    picked = found.select("run", "grams").mapInArrow(trimmed(_seeds(bit_set(seeds))), "run long, h long")
+    pairs = picked.join(seeds, "h").select("run", "item_id", "part").distinct()
+    named = pairs.join(found.select("run", "doc_id", "words"), "run").join(parts.select("item_id", "part", F.col("words").alias("item_words")), ["item_id", "part"])
     scored = named.select("doc_id", "item_id", "words", "item_words").mapInArrow(trimmed(_scored), "doc_id long, item_id long, best int, size int")
     return scored.groupBy("doc_id", "item_id").agg(F.max(F.col("best") / F.col("size")).alias("score"))
 

@@ -63,6 +63,17 @@ def test_planted_copies(spark):
     assert dc.contaminated(df.limit(0), bench).count() == 0 and dc.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_items_that_follow_others(spark):
+    """All seeds of a run are looked up: every eighth one, counted over all items, missed items between others."""
+    short = [(i, [f"s{i}w{k}" for k in range(5 + i % 3)]) for i in range(20)]
+    other, eight = [f"o{k}" for k in range(20)], [f"e{k}" for k in range(8)]
+    docs = [(1, [w for _, t in short for w in t]), (2, ["one", *other[3:6], "two", *eight, "three"]), (3, other), (4, other[10:]), (5, other[10:])]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in [*short, (50, other), (51, eight)]], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.contaminated(df, bench).collect()}
+    assert got == {**{(1, i): 1.0 for i in range(20)}, (2, 51): 1.0, (3, 50): 1.0, (4, 50): 0.5, (5, 50): 0.5}
+
+
 def test_op9_finds_every_verbatim_item(spark):
     sf = "/root/testdata/sf0.01"
     items = [(r["item_id"], " ".join(words(r["text"]))) for r in stage.table(spark, sf, "benchmark").collect()]
