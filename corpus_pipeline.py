@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each written as Parquet and read again before the next.
 
-Quality rules drop documents; spread lines leave texts that they are the smaller part of; of each group of near copies
+Quality rules drop documents; spread lines leave all texts; of each group of near copies
 (5-word shingles, similarity 0.8) the smallest id stays; documents that hold a benchmark item go; what is left is
 encoded. The last stage returns doc_id, n_tokens, token_ids and decoded_sha256. Stages have no state between them.
 """
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that spread over many sites out of the texts; n_chars follows the text."""
-    out = lines.drop_spread_lines(docs).drop("__n_lines", "__n_removed")
+    out = lines.drop_spread_lines(docs, max_share=1.0).drop("__n_lines", "__n_removed")
     return lines.with_length(out, "text", "n_chars")
 
 

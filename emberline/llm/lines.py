@@ -3,8 +3,8 @@
 A line is a part of the text between line feeds, without the blanks at its ends; blank lines are never removed. A
 HyperLogLog sketch of the sites is kept for each line hash and merged by the aggregation. A line whose estimate is
 clear of the threshold is decided by it; lines near the threshold get an exact distinct count. Where the spread lines
-hold more than max_share of a document's characters the document itself was copied: it is left whole, for the
-near-duplicate step to judge. Null text stays null, a null site counts as one site of its own, and repeated rows are
+hold more than max_share of a document's characters it is left whole, whether it is a copy or not; a max_share of 1
+takes them out of every document. Null text stays null, a null site counts as one site of its own, and repeated rows are
 treated alike. Other columns pass through.
 """
 

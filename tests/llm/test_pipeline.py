@@ -8,6 +8,7 @@ from test_decontamination import words
 from test_minhash import brute as near_brute
 from test_simple_ops import brute_counts, brute_lines
 from emberline.llm import stage
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,3 +70,13 @@ def test_hard_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
     for name in ("op2_lm_scoring", "op4_minhash_near_dedup", "op5_line_dedup", "op6_sharding", "op7_quality_rules", "op8_suffix_array_dedup", "op9_decontamination", "op10_sentencepiece"):
         assert registry.QUERIES[name](spark, empty).count() == 0, name
+
+
+def test_spread_lines_leave_texts_of_any_share(spark):
+    """A page whose spread line is longer than its own text stayed whole, though no other page is like it."""
+    footer = " ".join(f"footer{i}" for i in range(100))
+    docs = [(i, f"{' '.join(f'own{i}word{k}' for k in range(60 if i else 10))}\n {footer}", f"s{i}") for i in range(12)] + [(20, footer, "s1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    want = {i: "\n".join(x for x in t.split("\n") if x.strip(" ") != footer) for i, t, _ in docs}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
