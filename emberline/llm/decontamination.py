@@ -88,7 +88,7 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def passages(docs: DataFrame, key: str, text: str, bits: np.ndarray) -> DataFrame:
-    """doc_id, grams found (at, h) and the words around them, a row for each run."""
+    """doc_id, row (hash of the text), grams found (at, h) and the words around them, a row for each run."""
 
     def rows(part: pa.RecordBatch, t: Texts) -> pa.RecordBatch | None:
         word, doc = _words(t)
@@ -114,11 +114,12 @@ def passages(docs: DataFrame, key: str, text: str, bits: np.ndarray) -> DataFram
         words = _code(word)[np.arange(total[-1]) - np.repeat(total - size, size) + np.repeat(a, size)]
         return pa.record_batch([
             part.column("doc_id").take(pa.array(own)),
+            part.column("row").take(pa.array(own)),
             pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(h.view(np.int64))),
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], total]), pa.int32()), pa.array(words)),
-        ], ["doc_id", "grams", "words"])
+        ], ["doc_id", "row", "grams", "words"])
 
-    return map_text(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", rows, "doc_id long, grams array<long>, words array<int>", lower=True)
+    return map_text(docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")), "text", rows, "doc_id long, row long, grams array<long>, words array<int>", lower=True)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +168,12 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ([np.asarray(x.values) for x in batch.column(c)] for c in ("words", "item_words"))
         best = best_scores(a, b)
         size = np.array([len(x) for x in b], np.int32)
-        part = pa.record_batch([batch.column("doc_id"), batch.column("item_id"), pa.array(best), pa.array(size)], ["doc_id", "item_id", "best", "size"])
+        part = pa.record_batch([batch.column("doc_id"), batch.column("row"), batch.column("item_id"), pa.array(best), pa.array(size)], ["doc_id", "row", "item_id", "best", "size"])
         yield part.filter(pa.array(best >= MIN_SCORE * size))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id and score of each document that holds an item."""
+def _matches(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """doc_id, row, item_id, best and size of each passage that holds an item."""
     parts = stage.persisted(segments(items, item_key, item_text), "segments")
     grams = parts.select("item_id", "part", F.size("grams").alias("n"), F.explode("grams").alias("h"))
     found = stage.persisted(passages(docs, key, text, bit_set(grams)).withColumn("run", F.monotonically_increasing_id()), "passages")
@@ -182,12 +183,18 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     seeds = stage.persisted(seeds.filter(F.col("rank") <= F.ceil(F.col("n") * SEED_SHARE)).select("item_id", "part", "h"), "seeds")
     picked = found.select("run", "grams").mapInArrow(trimmed(_seeds(bit_set(seeds))), "run long, h long")
     pairs = picked.join(seeds, "h").select("run", "item_id", "part").distinct()
-    named = pairs.join(found.select("run", "doc_id", "words"), "run").join(parts.select("item_id", "part", F.col("words").alias("item_words")), ["item_id", "part"])
-    scored = named.select("doc_id", "item_id", "words", "item_words").mapInArrow(trimmed(_scored), "doc_id long, item_id long, best int, size int")
+    named = pairs.join(found.select("run", "doc_id", "row", "words"), "run").join(parts.select("item_id", "part", F.col("words").alias("item_words")), ["item_id", "part"])
+    return named.select("doc_id", "row", "item_id", "words", "item_words").mapInArrow(trimmed(_scored), "doc_id long, row long, item_id long, best int, size int")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id and score of each document that holds an item."""
+    scored = _matches(docs, items, key, text, item_key, item_text)
     return scored.groupBy("doc_id", "item_id").agg(F.max(F.col("best") / F.col("size")).alias("score"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that hold an item; the columns stay as they are."""
-    gone = stage.persisted(contaminated(docs, items, key, text).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    found = _matches(docs, items, key, text, "item_id", "text")
+    gone = stage.persisted(found.select(F.col("doc_id").alias("__gone"), F.col("row").alias("__gone_row")).distinct(), "contaminated")
+    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__gone_row")), "left_anti")

@@ -74,6 +74,14 @@ def test_items_that_follow_others(spark):
     assert got == {**{(1, i): 1.0 for i in range(20)}, (2, 51): 1.0, (3, 50): 1.0, (4, 50): 0.5, (5, 50): 0.5}
 
 
+def test_null_ids_go_by_their_text(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = [(None, f"before {item} after"), (None, "clean"), (1, item), (1, "clean too"), (2, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = dc.keep_clean(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, "clean"), (1, "clean too"), (2, None)]))
+
+
 def test_op9_finds_every_verbatim_item(spark):
     sf = "/root/testdata/sf0.01"
     items = [(r["item_id"], " ".join(words(r["text"]))) for r in stage.table(spark, sf, "benchmark").collect()]
