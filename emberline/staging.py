@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session has none."""
+    """The folder of spark.checkpoint.dir. A local one is set only in local mode, where one machine holds all tasks;
+    a cluster without the setting is refused, as its executors could not see each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="emberline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -21,10 +24,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
+def persisted(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing.
+    block_bytes: size of a row group, for tables of few large rows, which are read a row group at a time."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    write = df.write.option("compression", "zstd")
+    (write.option("parquet.block.size", block_bytes) if block_bytes else write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
