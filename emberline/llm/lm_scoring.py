@@ -1,15 +1,29 @@
-"""Cross-entropy difference: a target and a background bigram model score every document.
-
-Both models are bigrams with Dirichlet smoothing by their own unigrams and share one vocabulary: all words of all
-documents, and the start of a text. The background counts all documents, the target those given. Words are runs of
-bytes other than ASCII white space, lower-cased for A-Z. Per token, loss is -ln p; score is the mean target loss less
-the mean background loss, so low scores are like the target.
-
-Counts are exact and keyed by 64-bit hashes: texts are packed into chunks of about CHUNK_TOKENS with a dictionary of
-their own; each chunk gives every word, last word and bigram it holds once, counts are summed by key over all chunks,
-and the sums of the keys that other chunks hold too go back to the chunks. Only totals reach the driver. Texts without
-words get null losses. Rows that repeat an id all count and all get a score; a null id is never a target. Other columns
-are not read.
+"""Cross-entropy difference: matched target and background bigram models score every document.
+
+Words are runs of bytes other than ASCII white space, lower-cased for A-Z; every word is told apart, by a 64-bit hash.
+The models share one vocabulary, all words of all documents, and one estimator: bigrams, whose first one follows the
+start of the text, smoothed by Dirichlet's rule with the model's own unigrams, which are smoothed towards equal shares
+of the vocabulary. What a word's followers leave of its mass is the end of the text.
+
+Matched: the target model counts the given documents. All others are the background; where they are more, they are
+dealt by hash into as many models (at most MODELS) as bring each near the target's size, and the background loss is the
+mean of theirs. What is left of the difference is taken out by scaling the counts of each model to the size of the
+smallest. No document is scored by its own counts: they are taken off the model that it belongs to. So documents of one
+distribution score alike, whether they are in the target or not.
+
+Per word, loss is -ln p; score is the mean target loss less the mean background loss, so low scores are like the target.
+corpus_loss is the mean loss in one model of all documents but the scored one: low for a text that the rest repeats.
+
+Counts are exact. Texts of one model are packed into chunks of about CHUNK_WORDS with a sorted dictionary of their own.
+Each chunk sends the sorted hashes of its words and bigrams with their counts, cut into ranges of hashes, a row for each
+range; a range is summed over all chunks, and the sums go back to each chunk in the order of its hashes, so without
+them. Ranges grow in number with the corpus, not in size; a frequent bigram has one entry in a chunk at most. Only
+totals reach the driver.
+
+Texts without words, null and empty ones, get null losses. Very long texts make a chunk of their own. Rows that repeat an
+id all count and all get a score; each loses only its own counts, so repeated texts know each other. A null id is never a
+target. Without a target, or with nothing beside it, a model without counts gives all words equal shares. An empty table
+gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,140 +34,233 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .textbytes import map_text, mix, Texts, trimmed
 from . import stage
+from .textbytes import chunks, mix, Powers, Texts, trimmed
 
-#: Words that can be told apart, one for each hash; no word is merged with others.
-VOCABULARY = 1 << 64
 #: Weight of the unigram in the smoothed bigram.
 PRIOR = 100.0
-CHUNK_TOKENS = 4 << 20
-#: Bits of an entry's number in its chunk, and of a chunk's number in its task.
-PLACE_BITS, CHUNK_BITS = 31, 12
-_FIRST, _SECOND, _LAST = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+#: Background models at most.
+MODELS = 8
+CHUNK_WORDS = 2 << 20
+#: Entries that are summed together, about.
+RANGE_ENTRIES = 2 << 20
+#: Bits of a chunk's number in its task.
+CHUNK_BITS = 20
+#: Tasks of a shuffle at most.
+TASKS = 1 << 15
+BLOCK_BYTES = 16 << 20
+_FIRST, _SECOND = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 _START = np.uint64(0x8CB92BA72F3D8DD7)
+_ONE = np.uint64(1)
 
 
-def sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id and seq: hashes of a text's words, eight bytes each."""
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of a, all first bytes before all second ones: equal bytes stand together for the compression."""
+    return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
 
-    def rows(part: pa.RecordBatch, t: Texts) -> pa.RecordBatch:
-        word, doc = t.word_hashes()
-        off = 8 * np.searchsorted(doc, np.arange(t.n + 1)).astype(np.int64)
-        seq = pa.Array.from_buffers(pa.large_binary(), t.n, [None, pa.py_buffer(off), pa.py_buffer(word)]).cast(pa.binary())
-        return pa.record_batch([part.column("id"), seq], ["id", "seq"])
 
-    return map_text(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", rows, f"id {dict(docs.dtypes)[key]}, seq binary", lower=True)
+def _values(planes: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _sorted_planes(a: np.ndarray) -> bytes:
+    """The same for an ascending column, as differences."""
+    return _planes(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def _sorted_values(planes: bytes) -> np.ndarray:
+    return np.cumsum(_values(planes, "<u8"), dtype=np.uint64)
+
+
+class _Held:
+    """Texts of one model that wait for their chunk."""
+
+    def __init__(self) -> None:
+        self.ids: list = []
+        self.seqs: list[np.ndarray] = []
+        self.words = 0
+
+    def add(self, key, seq: np.ndarray) -> None:
+        self.ids.append(key)
+        self.seqs.append(seq)
+        self.words += len(seq)
 
 
 def _packed(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, size = TaskContext.get().partitionId() << CHUNK_BITS, [], 0
-
-        def out():
-            ids, seqs, target = zip(*rows, strict=True)
-            words, seq = np.unique(np.frombuffer(b"".join(seqs), np.uint64), return_inverse=True)
-            sizes, own = np.array([len(s) // 8 for s in seqs], np.int64), np.array(target, bool)
-            planes = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # equal bytes stand together
-            lists = [pa.array([list(x)], pa.list_(k)) for x, k in ((ids, kind), (sizes, pa.int32()), (target, pa.bool_()))]
-            totals = [pa.array([int(x)], pa.int64()) for x in (sizes.sum(), sizes[own].sum(), (sizes > 0).sum(), (sizes[own] > 0).sum())]
-            return pa.record_batch([pa.array([number], pa.int64()), *lists, pa.array([words.tobytes()], pa.binary()), pa.array([planes], pa.binary()), *totals], PACKED)
+        powers, held, number = Powers(), {}, TaskContext.get().partitionId() << CHUNK_BITS
+
+        def out(model: int, rows: _Held) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            word, seq = np.unique(np.concatenate(rows.seqs), return_inverse=True)
+            sizes = np.array([len(s) for s in rows.seqs], np.int32)
+            lists = [pa.array([list(x)], pa.list_(k)) for x, k in ((rows.ids, kind), (sizes, pa.int32()))]
+            totals = [pa.array([int(x)], pa.int64()) for x in (sizes.sum(dtype=np.int64), (sizes > 0).sum())]
+            blobs = [pa.array([x], pa.binary()) for x in (_sorted_planes(word), _planes(seq.astype("<u4")))]
+            return pa.record_batch([pa.array([number - 1], pa.int64()), pa.array([model], pa.int32()), *lists, *blobs, *totals], ["chunk", "model", "ids", "sizes", "words", "seq", "n", "texts"])
 
         for batch in batches:
-            for i, s, t in zip(*(batch.column(c) for c in ("id", "seq", "target")), strict=True):
-                rows.append((i.as_py(), s.as_py(), t.as_py()))
-                size += len(s.as_py()) // 8
-                if size >= CHUNK_TOKENS or len(rows) >= CHUNK_TOKENS // 8:
-                    yield out()
-                    number, rows, size = number + 1, [], 0
-        if rows:
-            yield out()
+            for part in chunks(batch, "text"):
+                t = Texts(part.column("text"), powers, lower=True)
+                word, doc = t.word_hashes()
+                off = np.searchsorted(doc, np.arange(t.n + 1))
+                for i, (key, model) in enumerate(zip(part.column("id").to_pylist(), part.column("model").to_pylist(), strict=True)):
+                    rows = held.setdefault(model, _Held())
+                    rows.add(key, word[off[i] : off[i + 1]] & ~_ONE)
+                    if rows.words >= CHUNK_WORDS or len(rows.ids) >= CHUNK_WORDS // 8:
+                        yield out(model, held.pop(model))
+        for model in sorted(held):
+            yield out(model, held.pop(model))
 
     return run
 
 
-PACKED = ["chunk", "ids", "sizes", "target", "words", "seq", "n_all", "n_own", "texts_all", "texts_own"]
-
-
-class Entries:
-    """What a chunk counts, in this order: its words, the same as last words of texts (other chunks may have them), its bigrams."""
+class Chunk:
+    """Words and bigrams of a chunk: key, in ascending order, and how often it holds each. Keys of words are odd."""
 
     def __init__(self, row: dict[str, pa.Scalar]) -> None:
-        words, self.size = np.frombuffer(row["words"].as_py(), np.uint64), np.asarray(row["sizes"].values, np.int64)
-        seq = np.frombuffer(row["seq"].as_py(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+        words, self.size = _sorted_values(row["words"].as_py()), np.asarray(row["sizes"].values, np.int64)
+        self.seq = _values(row["seq"].as_py(), "<u4").astype(np.int64)
+        n = len(words)
+        stop = np.cumsum(self.size)
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
-        target = np.array(row["target"].as_py(), bool)
-        own, n = target[self.doc], len(words)
-        self.n_words, stop = n, np.cumsum(self.size)
-        before = np.empty_like(seq)
-        before[1:] = seq[:-1]
-        before[(stop - self.size)[self.size > 0]] = n
-        pair, self.at = np.unique(before * (n + 1) + seq, return_inverse=True)
-        self.history, self.word = pair // (n + 1), pair % (n + 1)
-        end = stop[self.size > 0] - 1
-        parts = ((seq, own, n), (seq[end], own[end], n), (self.at, own, len(pair)))
-        self.n_all = np.concatenate([np.bincount(x, minlength=k) for x, _, k in parts])
-        self.n_own = np.concatenate([np.bincount(x[o], minlength=k) for x, o, k in parts])
+        self.before = np.empty_like(self.seq)
+        self.before[1:] = self.seq[:-1]
+        self.before[(stop - self.size)[self.size > 0]] = n  # the start
+        pair, self.at = np.unique(self.before * (n + 1) + self.seq, return_inverse=True)
         h = np.append(words, _START)
-        self.key = np.concatenate([words, mix(words * _LAST), mix(h[self.history] * _FIRST + words[self.word] * _SECOND)])
+        key = np.concatenate([words | _ONE, mix(h[pair // (n + 1)] * _FIRST + words[pair % (n + 1)] * _SECOND) & ~_ONE])
+        self.order = np.argsort(key)
+        self.key = key[self.order]
+        self.count = np.concatenate([np.bincount(self.seq, minlength=n), np.bincount(self.at, minlength=len(pair))])[self.order]
+        self.n_words = n
+
+    def in_place(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns for the ordered keys, as columns for the words and for the bigrams."""
+        out = np.empty_like(totals)
+        out[:, self.order] = totals
+        return out[:, : self.n_words], out[:, self.n_words :]
+
+    def own(self, what: np.ndarray) -> np.ndarray:
+        """For each word of the chunk, how often its text holds the same what."""
+        top = int(what.max(initial=0)) + 1
+        _, at, n = np.unique(self.doc * top + what, return_inverse=True, return_counts=True)
+        return n[at]
+
+
+def _row(batch: pa.RecordBatch | pa.Table, k: int) -> dict[str, pa.Scalar]:
+    return {c: batch.column(c)[k] for c in batch.schema.names}
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
-    for k in range(batch.num_rows):
-        yield {c: batch.column(c)[k] for c in batch.schema.names}
+def _sent(ranges: int):
+    """Entries of each chunk: keys and counts, a row for each range that it has some in."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c = Chunk(_row(batch, k))
+                into = ((c.key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                cut = np.searchsorted(into, np.arange(ranges + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(cut))
+                for lo in range(0, len(full), 256):
+                    some = full[lo : lo + 256]
+                    keys = [_sorted_planes(c.key[cut[r] : cut[r + 1]]) for r in some]
+                    counts = [_planes(c.count[cut[r] : cut[r + 1]].astype("<u4")) for r in some]
+                    m = len(some)
+                    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([batch.column("chunk")[k].as_py()] * m, pa.int64()), pa.array([batch.column("model")[k].as_py()] * m, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["range", "chunk", "model", "keys", "counts"])
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in _rows(batch):
-            e = Entries(row)
-            place = (row["chunk"].as_py() << PLACE_BITS) + np.arange(len(e.key))
-            for i in range(0, len(place), 1 << 17):
-                j = slice(i, i + (1 << 17))
-                yield pa.record_batch([pa.array(e.key[j].view(np.int64)), pa.array(place[j]), pa.array(e.n_all[j]), pa.array(e.n_own[j])], ["key", "place", "n_all", "n_own"])
+    return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for w in batch.column("words"):
-            yield pa.record_batch([pa.array(np.frombuffer(w.as_py(), np.int64))], ["word"])
+def _summed(models: int):
+    """Counts of a range's keys in each model, for each chunk in the order of its keys; and how many words there are."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = [_sorted_values(k.as_py()) for k in t.column("keys")]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        edge = np.cumsum([0, *map(len, keys)])
+        total = np.zeros((models, len(distinct)), np.int64)
+        for i, (m, c) in enumerate(zip(t.column("model").to_pylist(), t.column("counts"), strict=True)):
+            total[m, at[edge[i] : edge[i + 1]]] += _values(c.as_py(), "<u4")
+        blobs = []
+        for i in range(len(keys)):
+            mine = total[:, at[edge[i] : edge[i + 1]]].ravel()
+            blobs.append(_planes(mine.astype("<u4") if mine.max() < 1 << 32 else mine.astype("<i8")))
+        words = np.zeros(len(keys), np.int64)
+        words[0] = np.count_nonzero(distinct & _ONE)
+        return pa.table({"chunk": t.column("chunk"), "range": t.column("range"), "keys": pa.array(np.diff(edge), pa.int64()), "totals": pa.array(blobs, pa.binary()), "words": pa.array(words)})
+
+    return run
 
 
-def _loss(e: Entries, count: np.ndarray, v: int, n: int, texts: int) -> np.ndarray:
-    """Loss of each bigram; count: of the entries, over all chunks. A word is a history where it is not the last."""
-    words, last, both = np.split(count, [e.n_words, 2 * e.n_words])
-    histories = np.append(words - last, texts)
-    return -np.log((both + PRIOR * (words[e.word] + 1) / (n + v + 1)) / (histories[e.history] + PRIOR))
+def _totals(t: pa.Table, models: int) -> np.ndarray:
+    """The sums that came back to a chunk, a row for each model."""
+    cols = []
+    for k in np.argsort(t.column("range").to_numpy()):
+        n, blob = t.column("keys")[int(k)].as_py(), t.column("totals")[int(k)].as_py()
+        cols.append(_values(blob, "<u4" if len(blob) == 4 * n * models else "<i8").astype(np.int64).reshape(models, n))
+    return np.concatenate(cols, axis=1) if cols else np.zeros((models, 0), np.int64)
+
+
+def losses(c: Chunk, totals: np.ndarray, model: int, sizes: np.ndarray, texts: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Loss of each word of the chunk in each model, and in one of all documents. sizes and texts: of the models, in
+    words and in texts with words."""
+    words, pairs = c.in_place(np.concatenate([totals, totals.sum(axis=0, keepdims=True)]))
+    least = sizes[sizes > 0].min(initial=np.iinfo(np.int64).max)
+    sizes, texts = np.append(sizes, sizes.sum()), np.append(texts, texts.sum())
+    last = len(sizes) - 1
+    own_pair, own_word, own_size = c.own(c.at), c.own(c.seq), c.size[c.doc]
+    own_before = np.ones(len(c.seq), np.int64)  # the start: one
+    later = c.before < c.n_words
+    own_before[later] = own_word[np.flatnonzero(later) - 1]
+    out = np.empty((len(sizes), len(c.seq)))
+    for m in range(len(sizes)):
+        scale, mine = least / sizes[m] if sizes[m] and m < last else 1.0, m in (model, last)
+        history = np.append(words[m], texts[m])[c.before] - mine * own_before
+        word = (scale * (words[m][c.seq] - mine * own_word) + 1) / (scale * (sizes[m] - mine * own_size) + vocabulary + 1)
+        out[m] = -np.log((scale * (pairs[m][c.at] - mine * own_pair) + PRIOR * word) / (scale * history + PRIOR))
+    return out
+
+
+def background_models(target_bytes: int, other_bytes: int) -> int:
+    """How many models of about the target's size the other documents make."""
+    return max(1, min(MODELS, round(other_bytes / target_bytes))) if target_bytes else 1
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_tokens, target_loss, background_loss and score. target_ids: one column, the ids of the target."""
+    """id, n_tokens, target_loss, background_loss, score and corpus_loss. target_ids: one column, the ids of the target."""
     kind = dict(docs.dtypes)[key]
     target = target_ids.toDF("id").filter("id is not null").distinct().withColumn("target", F.lit(True))
-    flagged = sequences(docs, key, text).join(target, "id", "left").select("id", "seq", F.coalesce("target", F.lit(False)).alias("target"))
+    flagged = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(target, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    sizes = {r["target"]: r["bytes"] or 0 for r in flagged.groupBy("target").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    models = 1 + background_models(sizes.get(True, 0), sizes.get(False, 0))
+    dealt = F.when(F.col("target"), 0).otherwise(1 + F.pmod(F.xxhash64("id", "text"), F.lit(models - 1)))
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    packed = stage.persisted(flagged.mapInArrow(trimmed(_packed(arrow)), f"chunk long, ids array<{kind}>, sizes array<int>, target array<boolean>, words binary, seq binary, n_all long, n_own long, texts_all long, texts_own long"), "sequences")
-    n_all, n_own, texts_all, texts_own = packed.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in PACKED[-4:]]).first()
-    v = packed.select("words").mapInArrow(trimmed(_words), "word long").distinct().count()
-    chunk = packed.select(*PACKED[:-4])
-    held = chunk.mapInArrow(trimmed(_entries), "key long, place long, n_all long, n_own long")
-    same = W.partitionBy("key")
-    summed = held.select("place", F.sum("n_all").over(same).alias("n_all"), F.sum("n_own").over(same).alias("n_own"), F.count("*").over(same).alias("chunks"))
-    back = summed.filter("chunks > 1").select(F.shiftright("place", PLACE_BITS).alias("chunk"), "place", "n_all", "n_own")
+    schema = f"chunk long, model int, ids array<{kind}>, sizes array<int>, words binary, seq binary, n long, texts long"
+    packed = flagged.select("id", "text", dealt.cast("int").alias("model")).mapInArrow(trimmed(_packed(arrow)), schema)
+    packed = stage.persisted(packed, "sequences", BLOCK_BYTES)
+    counted = {r["model"]: r for r in packed.groupBy("model").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.count("*").alias("chunks")).collect()}
+    n, texts = (np.array([counted[m][c] if m in counted else 0 for m in range(models)], np.int64) for c in ("n", "texts"))
+    n_chunks = sum(r["chunks"] for r in counted.values())
+
+    chunk = packed.select("chunk", "model", "ids", "sizes", "words", "seq")
+    ranges = int(n.sum()) // RANGE_ENTRIES + 1
+    sent = chunk.mapInArrow(trimmed(_sent(ranges)), "range int, chunk long, model int, keys binary, counts binary")
+    summed = sent.repartition(min(ranges, TASKS), "range").groupBy("range").applyInArrow(_summed(models), "chunk long, range int, keys long, totals binary, words long")
+    summed = stage.persisted(summed, "sums", BLOCK_BYTES)
+    vocabulary = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left.column(c)[0] for c in left.column_names}
-        e = Entries(row)
-        at = right.column("place").to_numpy() & ((1 << PLACE_BITS) - 1)
-        e.n_all[at], e.n_own[at] = right.column("n_all").to_numpy(), right.column("n_own").to_numpy()
-        means = []
-        for loss in (_loss(e, e.n_own, v, n_own, texts_own), _loss(e, e.n_all, v, n_all, texts_all)):
-            means.append(np.bincount(e.doc, loss[e.at], len(e.size)) / np.maximum(e.size, 1))
-        empty = e.size == 0
-        return pa.table({"id": pa.array(row["ids"].as_py(), arrow), "n_tokens": pa.array(e.size), "target_loss": pa.array(means[0], mask=empty), "background_loss": pa.array(means[1], mask=empty), "score": pa.array(means[0] - means[1], mask=empty)})
-
-    schema = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, schema)
+        row = _row(left, 0)
+        c = Chunk(row)
+        loss = losses(c, _totals(right, models), row["model"].as_py(), n, texts, vocabulary)
+        own, other, every = (np.bincount(c.doc, x, len(c.size)) / np.maximum(c.size, 1) for x in (loss[0], loss[1:-1].mean(axis=0), loss[-1]))
+        columns = {"target_loss": own, "background_loss": other, "score": own - other, "corpus_loss": every}
+        return pa.table({"id": pa.array(row["ids"].as_py(), arrow), "n_tokens": pa.array(c.size), **{k: pa.array(v, mask=c.size == 0) for k, v in columns.items()}})
+
+    tasks = min(n_chunks // 2 + 1, TASKS)
+    back = summed.drop("words").repartition(tasks, "chunk")
+    return chunk.repartition(tasks, "chunk").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double, corpus_loss double")
