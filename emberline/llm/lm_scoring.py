@@ -48,6 +48,8 @@ CHUNK_WORDS = 2 << 20
 RANGE_ENTRIES = 2 << 20
 #: Bits of a chunk's number in its task.
 CHUNK_BITS = 20
+#: Bytes of target ids that are broadcast at most; beyond, they are joined by a shuffle of the texts.
+TARGET_BYTES = 32 << 20
 #: Tasks of a shuffle at most.
 TASKS = 1 << 15
 BLOCK_BYTES = 16 << 20
@@ -176,19 +178,22 @@ def _sent(ranges: int):
 
 
 def _summed(models: int):
-    """Counts of a range's keys in each model, for each chunk in the order of its keys; and how many words there are."""
+    """For each chunk, in the order of its keys: what the other chunks hold of them in each model. And the range's words."""
 
     def run(t: pa.Table) -> pa.Table:
         keys = [_sorted_values(k.as_py()) for k in t.column("keys")]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         edge = np.cumsum([0, *map(len, keys)])
         total = np.zeros((models, len(distinct)), np.int64)
-        for i, (m, c) in enumerate(zip(t.column("model").to_pylist(), t.column("counts"), strict=True)):
-            total[m, at[edge[i] : edge[i + 1]]] += _values(c.as_py(), "<u4")
+        counts = [_values(c.as_py(), "<u4") for c in t.column("counts")]
+        for i, m in enumerate(t.column("model").to_pylist()):
+            total[m, at[edge[i] : edge[i + 1]]] += counts[i]
         blobs = []
-        for i in range(len(keys)):
-            mine = total[:, at[edge[i] : edge[i + 1]]].ravel()
-            blobs.append(_planes(mine.astype("<u4") if mine.max() < 1 << 32 else mine.astype("<i8")))
+        for i, m in enumerate(t.column("model").to_pylist()):
+            others = total[:, at[edge[i] : edge[i + 1]]]  # a copy; the chunk knows its own counts
+            others[m] -= counts[i]
+            others = others.ravel()
+            blobs.append(_planes(others.astype("<u4") if others.max() < 1 << 32 else others.astype("<i8")))
         words = np.zeros(len(keys), np.int64)
         words[0] = np.count_nonzero(distinct & _ONE)
         return pa.table({"chunk": t.column("chunk"), "range": t.column("range"), "keys": pa.array(np.diff(edge), pa.int64()), "totals": pa.array(blobs, pa.binary()), "words": pa.array(words)})
@@ -196,13 +201,15 @@ def _summed(models: int):
     return run
 
 
-def _totals(t: pa.Table, models: int) -> np.ndarray:
-    """The sums that came back to a chunk, a row for each model."""
+def _totals(c: Chunk, model: int, t: pa.Table, models: int) -> np.ndarray:
+    """The counts of a chunk's keys in all chunks, a row for each model, from the sums that came back."""
     cols = []
     for k in np.argsort(t.column("range").to_numpy()):
         n, blob = t.column("keys")[int(k)].as_py(), t.column("totals")[int(k)].as_py()
         cols.append(_values(blob, "<u4" if len(blob) == 4 * n * models else "<i8").astype(np.int64).reshape(models, n))
-    return np.concatenate(cols, axis=1) if cols else np.zeros((models, 0), np.int64)
+    out = np.concatenate(cols, axis=1) if cols else np.zeros((models, 0), np.int64)
+    out[model] += c.count
+    return out
 
 
 def losses(c: Chunk, totals: np.ndarray, model: int, sizes: np.ndarray, texts: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -234,17 +241,22 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id",
     """id, n_tokens, target_loss, background_loss, score and corpus_loss. target_ids: one column, the ids of the target."""
     kind = dict(docs.dtypes)[key]
     target = target_ids.toDF("id").filter("id is not null").distinct().withColumn("target", F.lit(True))
-    flagged = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(target, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    sizes = {r["target"]: r["bytes"] or 0 for r in flagged.groupBy("target").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    target = stage.persisted(target, "target")
+    if (target.agg(F.sum(8 + F.octet_length(F.col("id").cast("string")))).first()[0] or 0) <= TARGET_BYTES:
+        target = F.broadcast(target)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    flagged = rows.join(target, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    sized = rows.select("id", F.octet_length("text").alias("bytes")).join(target, "id", "left").groupBy(F.coalesce("target", F.lit(False)).alias("target"))
+    sizes = {r["target"]: r["bytes"] or 0 for r in sized.agg(F.sum("bytes").alias("bytes")).collect()}
     models = 1 + background_models(sizes.get(True, 0), sizes.get(False, 0))
     dealt = F.when(F.col("target"), 0).otherwise(1 + F.pmod(F.xxhash64("id", "text"), F.lit(models - 1)))
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     schema = f"chunk long, model int, ids array<{kind}>, sizes array<int>, words binary, seq binary, n long, texts long"
     packed = flagged.select("id", "text", dealt.cast("int").alias("model")).mapInArrow(trimmed(_packed(arrow)), schema)
-    packed = stage.persisted(packed, "sequences", BLOCK_BYTES)
-    counted = {r["model"]: r for r in packed.groupBy("model").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.count("*").alias("chunks")).collect()}
+    buckets = min(sum(sizes.values()) // (8 * CHUNK_WORDS) + 1, TASKS)  # about a chunk or two in each
+    packed = stage.bucketed(packed, "sequences", "chunk", buckets, BLOCK_BYTES)
+    counted = {r["model"]: r for r in packed.groupBy("model").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect()}
     n, texts = (np.array([counted[m][c] if m in counted else 0 for m in range(models)], np.int64) for c in ("n", "texts"))
-    n_chunks = sum(r["chunks"] for r in counted.values())
 
     chunk = packed.select("chunk", "model", "ids", "sizes", "words", "seq")
     ranges = int(n.sum()) // RANGE_ENTRIES + 1
@@ -255,12 +267,10 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id",
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         row = _row(left, 0)
-        c = Chunk(row)
-        loss = losses(c, _totals(right, models), row["model"].as_py(), n, texts, vocabulary)
+        c, model = Chunk(row), row["model"].as_py()
+        loss = losses(c, _totals(c, model, right, models), model, n, texts, vocabulary)
         own, other, every = (np.bincount(c.doc, x, len(c.size)) / np.maximum(c.size, 1) for x in (loss[0], loss[1:-1].mean(axis=0), loss[-1]))
         columns = {"target_loss": own, "background_loss": other, "score": own - other, "corpus_loss": every}
         return pa.table({"id": pa.array(row["ids"].as_py(), arrow), "n_tokens": pa.array(c.size), **{k: pa.array(v, mask=c.size == 0) for k, v in columns.items()}})
 
-    tasks = min(n_chunks // 2 + 1, TASKS)
-    back = summed.drop("words").repartition(tasks, "chunk")
-    return chunk.repartition(tasks, "chunk").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double, corpus_loss double")
+    return chunk.groupBy("chunk").cogroup(summed.drop("words").groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double, corpus_loss double")
