@@ -43,9 +43,9 @@ from .textbytes import chunks, mix, Powers, Texts, trimmed
 PRIOR = 100.0
 #: Background models at most.
 MODELS = 8
-CHUNK_WORDS = 2 << 20
+CHUNK_WORDS = 1 << 20
 #: Entries that are summed together, about.
-RANGE_ENTRIES = 2 << 20
+RANGE_ENTRIES = 1 << 20
 #: Bits of a chunk's number in its task.
 CHUNK_BITS = 20
 #: Bytes of target ids that are broadcast at most; beyond, they are joined by a shuffle of the texts.
@@ -60,7 +60,7 @@ _ONE = np.uint64(1)
 
 def _planes(a: np.ndarray) -> bytes:
     """The bytes of a, all first bytes before all second ones: equal bytes stand together for the compression."""
-    return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
 def _values(planes: bytes, kind: str) -> np.ndarray:
@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id",
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     schema = f"chunk long, model int, ids array<{kind}>, sizes array<int>, words binary, seq binary, n long, texts long"
     packed = flagged.select("id", "text", dealt.cast("int").alias("model")).mapInArrow(trimmed(_packed(arrow)), schema)
-    buckets = min(sum(sizes.values()) // (8 * CHUNK_WORDS) + 1, TASKS)  # about a chunk or two in each
+    buckets = min(sum(sizes.values()) // (4 * CHUNK_WORDS) + 1, TASKS)  # about a chunk or two in each
     packed = stage.bucketed(packed, "sequences", "chunk", buckets, BLOCK_BYTES)
     counted = {r["model"]: r for r in packed.groupBy("model").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect()}
     n, texts = (np.array([counted[m][c] if m in counted else 0 for m in range(models)], np.int64) for c in ("n", "texts"))
@@ -261,7 +261,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id",
     chunk = packed.select("chunk", "model", "ids", "sizes", "words", "seq")
     ranges = int(n.sum()) // RANGE_ENTRIES + 1
     sent = chunk.mapInArrow(trimmed(_sent(ranges)), "range int, chunk long, model int, keys binary, counts binary")
-    summed = sent.repartition(min(ranges, TASKS), "range").groupBy("range").applyInArrow(_summed(models), "chunk long, range int, keys long, totals binary, words long")
+    summed = sent.repartitionById(min(ranges, TASKS), "range").groupBy("range").applyInArrow(_summed(models), "chunk long, range int, keys long, totals binary, words long")
     summed = stage.persisted(summed, "sums", BLOCK_BYTES)
     vocabulary = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
