@@ -41,6 +41,14 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_roles_and_conversations(spark):
+    """A role of 3,000 characters overflowed the stack of the JVM's regular expressions."""
+    odd = ["\\", "\\\\l", "\\l<g>\\", "<>", ">" * 5000, "x" * 20_000, "\\" * 4001, "a\n>\nb", "assistant", "assistant\\"]
+    data = [(1, i, role, t, 0) for i, (role, t) in enumerate(zip(odd * 2, ODD * 2))]
+    data += [(2, i, ("user", "assistant")[i // 3 % 2], f"text {i} \\ <next>", 0) for i in range(2000)] + [(2, 7, "user", "text 7 \\ <next>", 0), (None, 0, None, None, 0)]
+    check_chats(spark, data, None)
+
+
 def test_op1(spark):
     data = sorted(rows(stage.table(spark, SF, "conversations")), key=lambda r: (r["conv_id"], r["turn"]))
     want = {}
