@@ -1,16 +1,19 @@
 """Removal of lines that spread over many sites. DataFrame functions only.
 
-A line is a part of the text between line feeds, without the blanks at its ends; blank lines are never removed. A
-HyperLogLog sketch of the sites is kept for each line hash and merged by the aggregation. A line whose estimate is
-clear of the threshold is decided by it; lines near the threshold get an exact distinct count. Where the spread lines
-hold more than max_share of a document's characters it is left whole, whether it is a copy or not; a max_share of 1
-takes them out of every document. Null text stays null, a null site counts as one site of its own, and repeated rows are
-treated alike. Other columns pass through.
+A line is a part of the text between line feeds, without the blanks at its ends; blank lines are never removed. Lines
+are known by two independent 64-bit hashes. A HyperLogLog sketch of the sites is kept for each of them and merged by the
+aggregation. A line whose estimate is clear of the threshold is decided by it; lines near the threshold get an exact
+distinct count. A spread line leaves every document that holds it, whatever its share of the text.
+
+Null text stays null and an empty one empty; a null site counts as one site of its own. Repeated rows are treated alike,
+and rows that share a key each keep their own text. Very long texts are split in place; only the hashes of their lines
+are shuffled. An empty table gives no rows. Other columns pass through, whatever their names; only columns named
+__n_lines and __n_removed are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stage
@@ -19,41 +22,49 @@ from . import stage
 LOG_REGISTERS = 12
 #: Width of the band around the threshold, relative: more than four standard errors, and one site at least.
 BAND = 0.07
+_LINE = ["hash", "check"]
 
 
-def _lines(df: DataFrame, key: str, text: str, site: str) -> DataFrame:
-    """A row for each line that is not blank; _row tells texts of one key apart."""
-    one = df.select(
-        F.col(key).alias("__key"), F.xxhash64(text).alias("__row"), F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("__site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("__pos", "__line")
-    )
-    return one.select("__key", "__row", "__site", "__pos", F.trim("__line").alias("__line")).filter("__line != ''").withColumn("__hash", F.xxhash64("__line")).drop("__line")
+def _parts(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _lines(df: DataFrame, *keep: Column) -> DataFrame:
+    """A row for each line that is not blank: keep, its place and its two hashes. df has a column text."""
+    one = df.select(*keep, F.posexplode(F.transform(_parts(F.col("text")), lambda x: F.trim(x))).alias("place", "line")).filter("line != ''")
+    return one.withColumns({"hash": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")}).drop("line")
 
 
-def spread_lines(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10) -> DataFrame:
-    """Hashes of the lines that occur on min_sites distinct sites or more."""
-    lines = _lines(df, key, text, site).select("__hash", "__site")
-    estimate = lines.groupBy("__hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("__site", LOG_REGISTERS)).alias("_sites"))
+def spread_lines(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10) -> DataFrame:
+    """hash and check of the lines that occur on min_sites distinct sites or more."""
+    rows = df.select(F.col(text).alias("text"), F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"))
+    lines = _lines(rows, F.col("site")).drop("place")
+    estimate = lines.groupBy(*_LINE).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("sites"))
     slack = max(1.0, BAND * min_sites)
-    estimate = stage.persisted(estimate.filter(F.col("_sites") >= min_sites - slack), "line-estimates")
-    sure = estimate.filter(F.col("_sites") > min_sites + slack).select("__hash")
-    near = estimate.filter(F.col("_sites") <= min_sites + slack).select("__hash")
-    exact = lines.join(near, "__hash", "left_semi").distinct().groupBy("__hash").count().filter(F.col("count") >= min_sites).select("__hash")
+    estimate = stage.persisted(estimate.filter(F.col("sites") >= min_sites - slack), "line-estimates")
+    sure = estimate.filter(F.col("sites") > min_sites + slack).select(*_LINE)
+    near = estimate.filter(F.col("sites") <= min_sites + slack).select(*_LINE)
+    exact = lines.join(near, _LINE, "left_semi").distinct().groupBy(*_LINE).count().filter(F.col("count") >= min_sites).select(*_LINE)
     return sure.unionByName(exact)
 
 
-def drop_spread_lines(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
+def drop_spread_lines(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10) -> DataFrame:
     """df with the text rewritten, and the columns __n_lines and __n_removed."""
-    bad = stage.persisted(spread_lines(df, key, text, site, min_sites), "spread-lines")
-    hits = _lines(df, key, text, site).join(bad, "__hash", "left_semi").groupBy("__key", "__row").agg(F.collect_set("__pos").alias("__bad"))
-    keyed = df.withColumn("__row", F.xxhash64(text)).alias("d").join(hits.alias("h"), F.col(f"d.{key}").eqNullSafe(F.col("h.__key")) & (F.col("d.__row") == F.col("h.__row")), "left")
-    parts = F.split(F.col(f"d.{text}"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("h.__bad"), i)), "\n")
-    out = keyed.select("d.*", F.col("h.__bad").alias("__bad"), F.when(F.col("h.__bad").isNotNull(), kept).alias("__kept"))
-    out = out.withColumn("__cut", F.col("__bad").isNotNull() & (F.length("__kept") >= (1 - max_share) * F.length(text)))
+    bad = stage.persisted(spread_lines(df, text, site, min_sites), "spread-lines")
+    names = [c for c in df.columns if c not in ("__n_lines", "__n_removed")]
+    # the columns of df stand in a struct, out of the way of those that are made here
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("mark", F.xxhash64("text"))
+    hits = _lines(rows, F.col("id"), F.col("mark")).join(bad, _LINE, "left_semi").groupBy("id", "mark").agg(F.collect_set("place").alias("bad"))
+    hits = hits.select(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark"), "bad")
+    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & F.col("mark").eqNullSafe(F.col("hit_mark")), "left")
+    parts = _parts(F.col("text"))
+    good = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("bad"))
+    kept = F.array_join(F.transform(good, lambda i: F.get(parts, i)), "\n")
+    out = joined.withColumn("kept", F.when(F.col("bad").isNotNull(), kept).otherwise(F.col("text")))
     return out.select(
-        *[F.when(F.col("__cut"), F.col("__kept")).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns],
-        F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).alias("__n_lines"),
-        F.when(F.col("__cut"), F.size("__bad")).otherwise(0).alias("__n_removed"),
+        *[F.col("kept").alias(c) if c == text else F.col("doc")[c].alias(c) for c in names],
+        F.coalesce(F.size(parts), F.lit(0)).alias("__n_lines"),
+        F.coalesce(F.size("bad"), F.lit(0)).alias("__n_removed"),
     )
 
 

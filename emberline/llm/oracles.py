@@ -23,11 +23,10 @@ OP4 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
   r(id, label) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id WHERE r.label < e.b), m AS (SELECT id, min(label) AS label FROM r GROUP BY 1)
   SELECT doc_id, len(g)::bigint AS n_shingles, label AS component_id, doc_id = label AS kept FROM s JOIN m ON m.id = s.doc_id"""
 
-OP5 = """WITH l AS (SELECT doc_id, text, source, i, parts[i] AS line, trim(parts[i], ' ') AS t FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents) d, range(1, 100000) r(i) WHERE i <= len(parts)),
-  bad AS (SELECT t FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
-  k AS (SELECT doc_id, any_value(text) AS text, count(*) AS n, count(*) FILTER (t IN (SELECT t FROM bad)) AS gone, coalesce(string_agg(CASE WHEN t NOT IN (SELECT t FROM bad) THEN line END, chr(10) ORDER BY i), '') AS kept FROM l GROUP BY doc_id)
-  SELECT doc_id, n::bigint AS n_lines, (CASE WHEN gone > 0 AND length(kept) >= 0.5 * length(text) THEN gone ELSE 0 END)::bigint AS n_removed,
-    (CASE WHEN gone > 0 AND length(kept) >= 0.5 * length(text) THEN length(kept) ELSE length(text) END)::bigint AS kept_chars, sha256(CASE WHEN gone > 0 AND length(kept) >= 0.5 * length(text) THEN kept ELSE text END) AS kept_sha256 FROM k"""
+OP5 = """WITH l AS (SELECT doc_id, i, parts[i] AS line, trim(parts[i], ' ') AS t, source FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents) d) x),
+  bad AS (SELECT t FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10), k AS (SELECT *, t IN (SELECT t FROM bad) AS gone FROM l)
+  SELECT doc_id, count(*)::bigint AS n_lines, count(*) FILTER (gone)::bigint AS n_removed, length(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), ''))::bigint AS kept_chars,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id"""
 
 #: The published loop with 128-bit integers; CRC-32 byte by byte over a table made by its rule.
 _STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"

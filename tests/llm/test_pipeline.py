@@ -33,7 +33,7 @@ def test_stages(spark):
             judged = [(i in after, quality[i]) for i in before if i in quality and brute_counts(before[i]["text"])["n_words"] >= 50]
             assert sum(a == bool(b) for a, b in judged) / len(judged) > 0.97
         elif k == 1:
-            want = dict(brute_lines([(i, r["text"], r["source"]) for i, r in before.items()], 10, 0.5))
+            want = dict(brute_lines([(i, r["text"], r["source"]) for i, r in before.items()], 10))
             assert {i: r["text"] for i, r in after.items()} == want and all(r["n_chars"] == len(r["text"]) for r in after.values())
         elif k == 2:
             want = near_brute([(i, r["text"]) for i, r in before.items()], 5)

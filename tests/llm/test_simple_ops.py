@@ -111,7 +111,7 @@ def test_chunked_framing():
     assert warc.unchunked(b"5\r\nab") is None and warc.unchunked(b"zz\r\n") is None
 
 
-def brute_lines(data, min_sites, share):
+def brute_lines(data, min_sites):
     sites = {}
     for _, text, site in data:
         for x in (text or "").split("\n"):
@@ -121,8 +121,7 @@ def brute_lines(data, min_sites, share):
     out = []
     for key, text, _ in data:
         if text is not None:
-            kept = "\n".join(x for x in text.split("\n") if x.strip(" ") not in bad)
-            text = kept if len(kept) >= (1 - share) * len(text) else text
+            text = "\n".join(x for x in text.split("\n") if x.strip(" ") not in bad)
         out.append((key, text))
     return out
 
@@ -130,13 +129,17 @@ def brute_lines(data, min_sites, share):
 def test_lines(spark):
     data = [(i, f"own text number {i} that is long enough to stay\nshared footer {i % 2}\nrare {i % 7}\n", f"s{i % 12}") for i in range(60)]
     data += [(100 + i, t, None) for i, t in enumerate(ODD)] + [(200, "shared footer 0", "s1"), (3, data[3][1], "s3")]
-    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("__hash", F.lit("x"))
+    data += [(None, "shared footer 1\nnull id", "s2"), (None, "shared footer 1\nnull id", "s2"), (3, "another text of 3\nshared footer 0", "s4")]
+    clash = ["__hash", "hash", "check", "__bad", "__kept", "__row", "__cut", "__n_lines", "bad", "mark", "id", "doc", "kept", "place", "hit_id", "a.b"]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumns({c: F.concat(F.lit(c), F.coalesce("text", F.lit("-"))) for c in clash})
+    before = Counter(tuple(r[c] for c in clash if c != "__n_lines") for r in df.collect())
     for n in (3, 6, 7, 12):
         got = lines.drop_spread_lines(df, min_sites=n)
-        assert sorted(map(str, [(r["doc_id"], r["text"]) for r in rows(got)])) == sorted(map(str, brute_lines(data, n, 0.5)))
+        assert Counter(tuple(r[c] for c in clash if c != "__n_lines") for r in got.collect()) == before
+        assert sorted(map(str, [(r["doc_id"], r["text"]) for r in rows(got)])) == sorted(map(str, brute_lines(data, n)))
     assert lines.drop_spread_lines(df.limit(0)).count() == 0
     real = [(r["doc_id"], r["text"], r["source"]) for r in rows(stage.table(spark, SF, "documents"))]
-    want = {k: sha(t) for k, t in brute_lines(real, 10, 0.5)}
+    want = {k: sha(t) for k, t in brute_lines(real, 10)}
     assert {r["doc_id"]: r["kept_sha256"] for r in rows(registry.op5_line_dedup(spark, SF))} == want
 
 
