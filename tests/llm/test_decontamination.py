@@ -52,14 +52,15 @@ def test_planted_copies(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"item_id": F.lit(1), "h": F.lit("x")}).repartition(3)
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items] + [(100, None)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.contaminated(df, bench).collect()}
-    exact = {(d, i): align(words(t), t_i) / len(t_i) for d, t in docs for i, t_i in items if 3 <= len(t_i) <= 128}
-    want = {w for w in want if exact.get(w, 1) >= dc.MIN_SCORE}
+    exact = {(d, i): align(words(t), t_i) / len(t_i) for d, t in docs for i, t_i in items if len(t_i) <= 128}
+    enough = lambda pair: exact[pair] >= max(dc.MIN_SCORE, min(dc.MIN_MATCH / len(dict(items)[pair[1]]), 1))
+    want = {w for w in want if w not in exact or enough(w)}
     assert len(want) > 110 and want <= set(got)
     for pair, score in exact.items():
-        assert (score >= dc.MIN_SCORE) == (pair in got), (pair, score)
+        assert enough(pair) == (pair in got), (pair, score)
         if pair in got:
             assert abs(got[pair] - score) < 1e-9
-    assert {r["doc_id"] for r in dc.keep_clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert {r["doc_id"] for r in dc.keep_clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert dc.contaminated(df.limit(0), bench).count() == 0 and dc.contaminated(df, bench.limit(0)).count() == 0
 
 
@@ -74,6 +75,38 @@ def test_items_that_follow_others(spark):
     assert got == {**{(1, i): 1.0 for i in range(20)}, (2, 51): 1.0, (3, 50): 1.0, (4, 50): 0.5, (5, 50): 0.5}
 
 
+def edited(rng, item, rate):
+    return [w if rng.random() >= rate else f"new{rng.randrange(10_000)}" for w in item]
+
+
+def test_recall_of_edited_copies(spark, monkeypatch):
+    """By the share of words replaced, each copy alone in its document; and with hot seeds dealt over salts."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(30)) for i in range(200)]
+    rates = {0: 1.0, 1: 0.99, 2: 0.9}
+    docs = [(1000 * k + i, " ".join(text(80) + edited(rng, t, k / 10) + text(80))) for k in rates for i, t in items]
+    docs += [(9000 + i, " ".join(text(300))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()}
+    for k, least in rates.items():
+        assert sum((1000 * k + i, i) in got for i, _ in items) >= least * len(items), k
+    assert all(d < 9000 and d % 1000 == i for d, i in got)
+    monkeypatch.setattr(dc, "HOT_ROWS", 1)
+    monkeypatch.setattr(dc, "HOT_PARTS", 1 << 30)
+    assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()} == got
+
+
+def test_items_of_one_and_two_words(spark):
+    docs = [(1, "a lone word here"), (2, "two words"), (3, "words two"), (4, "Two, WORDS!"), (5, "lone"), (6, ""), (7, None), (8, "nothing"), (9, "one two three and lone")]
+    items = [(1, "lone"), (2, "two words"), (3, "one two three"), (4, "..."), (5, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in dc.contaminated(df, bench).collect()}
+    assert got == {(1, 1, 1.0), (5, 1, 1.0), (9, 1, 1.0), (2, 2, 1.0), (4, 2, 1.0), (9, 3, 1.0)}
+
+
 def test_null_ids_go_by_their_text(spark):
     item = " ".join(f"w{k}" for k in range(20))
     docs = [(None, f"before {item} after"), (None, "clean"), (1, item), (1, "clean too"), (2, None)]
