@@ -4,7 +4,8 @@ Words are runs of bytes other than ASCII white space, lower-cased for A-Z. A doc
 shingles; with fewer words, its whole sequence. Two documents are linked if |A and B| * den >= num * |A or B|. One hash
 function gives all sketches: the k smallest hashes of a set.
 
-1. Equal word sequences (128-bit digest) are one class; its smallest id stands for it.
+1. Equal word sequences (128-bit digest) are one class with a number of its own. All steps work on classes; ids come in
+   at the end, so an id that stands in rows of several texts takes part with each of them.
 2. Inverted lists: of the LIST_VALUES smallest hashes, each class enters the lists of the rarest ones only, as many as
    are needed for two linked classes to share one. Up to 25 shingles this is the exact prefix bound; beyond, it
    assumes an overlap of 0.4 of the listed values where at least 0.8 * 32 are expected, which fails with a
@@ -16,7 +17,9 @@ function gives all sketches: the k smallest hashes of a set.
 5. Each pair that passes is confirmed on the full sets.
 
 No list or group is capped. Null and empty texts have no words: they are linked with nothing. Rows that repeat an id
-count as one document, linked if any of its texts is; a null id stays alone. Other columns are not read.
+count as one document: their classes are linked with each other, so the document is linked if any of its texts is. A
+null id stays alone. Very long texts are read whole, one at a time. An empty table gives no rows. Other columns are not
+read, whatever their names; keep_one passes them through.
 """
 
 from __future__ import annotations
@@ -58,16 +61,20 @@ def _short(h: np.ndarray) -> np.ndarray:
 
 
 def base_rows(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """id, n_shingles, digest (null without words) and the listed values."""
+    """id, mark (hash of the text), n_shingles, digest (null without words) and the listed values."""
 
     def rows(part: pa.RecordBatch, t: Texts) -> pa.RecordBatch:
         h, d = _sets(t, n)
         count = np.bincount(d, minlength=t.n)
         digest = [hashlib.blake2b(b" ".join(t.piece(i).split()), digest_size=16).digest() if count[i] else None for i in range(t.n)]
         s, sd = _smallest(h, d, t.n, LIST_VALUES)
-        return pa.record_batch([part.column("id"), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), lists(_short(s), sd, t.n, pa.int32())], ["id", "n_shingles", "digest", "v"])
+        return pa.record_batch([part.column("id"), part.column("mark"), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), lists(_short(s), sd, t.n, pa.int32())], ["id", "mark", "n_shingles", "digest", "v"])
 
-    return map_text(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "text", rows, "id long, n_shingles long, digest binary, v array<int>", lower=True)
+    return map_text(_texts(docs, key, text), "text", rows, "id long, mark long, n_shingles long, digest binary, v array<int>", lower=True)
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
 
 def _prefix(num: int, den: int):
@@ -230,17 +237,19 @@ def _across(num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """id, n_shingles and component_id, the smallest id that links lead to."""
+    """id, n_shingles and component_id, the smallest id that links lead to (null for a null id)."""
     base = stage.persisted(base_rows(docs, key, text, n), "shingles")
-    classes = stage.persisted(base.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = base.join(classes, "digest").filter("id = rep").select("rep", "n_shingles", "v").dropDuplicates(["rep"])
+    classes = base.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first"))
+    classes = stage.persisted(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = stage.persisted(base.join(classes, "digest").filter("id = first").select("rep", "id", "mark", "n_shingles", "v").dropDuplicates(["rep"]), "representatives")
+    repeats = not base.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
     entered = stage.persisted(inverted_lists(reps, num, den), "lists")
 
     pivots = entered.groupBy("v").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     star = stage.persisted(entered.join(pivots, "v").filter("rep <> pivot").groupBy("rep").agg(F.collect_set("pivot").alias("pivots")), "stars")
     needed = entered.join(pivots, "v").select("rep").distinct().join(star, "rep", "left")
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    held = stage.persisted(_with_sketch(texts.join(needed, "rep"), n), "candidates")
+    wanted = _texts(docs, key, text).join(needed.join(reps.select("rep", "id", "mark"), "rep"), ["id", "mark"]).select("rep", "pivots", "text")
+    held = stage.persisted(_with_sketch(wanted.dropDuplicates(["rep"]) if repeats else wanted, n), "candidates")
     pivot_side = held.join(star.select(F.explode("pivots").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("text").alias("text_b"), F.col("s").alias("s_b"))
     member_side = held.filter("pivots is not null").select(F.col("rep").alias("a"), F.col("text").alias("text_a"), F.col("s").alias("s_a"), F.explode("pivots").alias("b"))
     edges = stage.persisted(confirm(member_side.join(pivot_side, "b"), n, num, den), "links")
@@ -259,10 +268,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     left = held.select(F.col("rep").alias("a"), F.col("text").alias("text_a"), F.col("s").alias("s_a"))
     right = held.select(F.col("rep").alias("b"), F.col("text").alias("text_b"), F.col("s").alias("s_b"))
     more = stage.persisted(confirm(maybe.join(left, "a").join(right, "b"), n, num, den), "links")
-    final = first if more.isEmpty() else components(edges.unionByName(more))
-
-    named = base.select("id", "n_shingles", "digest").join(classes, "digest", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("id", "n_shingles", F.coalesce("label", "rep", "id").alias("component_id"))
+    same = edges.unionByName(more)
+    if repeats:
+        own = base.filter("id is not null").join(classes, "digest").select("id", "rep")
+        several = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a <> last").select("id", "a")
+        same = same.unionByName(own.join(several, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    final = first if more.isEmpty() and not repeats else components(same)
+
+    least = final.join(classes, F.col("node") == F.col("rep")).groupBy("label").agg(F.min("first").alias("component_id"))
+    named = base.select("id", "n_shingles", "digest").join(classes, "digest", "left").join(final.join(least, "label").select(F.col("node").alias("rep"), "component_id"), "rep", "left")
+    named = named.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "first", "id")).alias("component_id"))
+    if repeats:  # rows without words go with the others of their id
+        whole = named.groupBy("id").agg(F.min("component_id").alias("component_id"))
+        named = named.drop("component_id").join(whole.filter("id is not null"), "id", "left")
+    return named
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
