@@ -238,3 +238,83 @@ def test_quality_on_labels(spark):
     assert right / len(got) > 0.95
     assert quality.fit(docs, labels.filter("quality = 1")) is None
     assert quality.keep_good(docs.limit(0), model).count() == 0
+
+
+def plain_texts(values, lower=True):
+    import pyarrow as pa
+    from emberline.llm.textbytes import Powers, Texts
+
+    return Texts(pa.array(values, pa.string()), Powers(), lower)
+
+
+def grams(text):
+    """Word and character n-grams of a text, by group."""
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = WORD.findall(t)
+    return [w, [f"{a} {b}" for a, b in zip(w, w[1:])], [t[i : i + 3] for i in range(len(t) - 2)], [t[i : i + 5] for i in range(len(t) - 4)]]
+
+
+def bucket(group, gram):
+    """From a text that holds nothing but the n-gram."""
+    found = quality.features(plain_texts([gram]))
+    return int({0: found[0], 1: found[min(1, len(found) - 1)], 2: found[-1], 3: found[-1]}[group][0][0])
+
+
+def test_classifier_against_dictionaries(spark):
+    """Shares, weights and verdict by plain loops over n-grams of code points, and a dense fit."""
+    import numpy as np
+
+    good, bad = "the river runs by the old house é 漢字 in spring and".split(), "BUY now $$$ click here ñandú free 漢 offer win".split()
+    import random
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randrange(3, 20))) for i in range(40)] + ["", "é", "a"]
+    y = np.array([i % 2 for i in range(len(texts))], float)
+    dense = np.zeros((len(texts), quality.BUCKETS))
+    known = {}
+    for i, t in enumerate(texts):
+        for k, g in enumerate(grams(t)):
+            for x in g:
+                if (k, x) not in known:
+                    known[k, x] = bucket(k, x)
+                dense[i, known[k, x]] += 1 / len(g)
+    import pyarrow as pa
+
+    batch = quality._sparse_rows(pa.record_batch([pa.array(y.astype(np.int32))], ["y"]), plain_texts(texts))
+    rows_ = quality.Rows(batch.column(1).offsets.to_numpy().astype(np.int64), batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy())
+    for i in range(len(texts)):
+        lo, hi = rows_.off[i : i + 2]
+        got = np.zeros(quality.BUCKETS)
+        got[rows_.bucket[lo:hi]] = rows_.share[lo:hi]
+        assert np.allclose(got, dense[i], atol=1e-6), texts[i]
+    held = np.arange(len(texts)) // 2 % 4 == 0  # of both classes
+    model = quality.fit_weights(y, rows_, held, np.ones(len(y)))
+    w, g2, bias, train = np.zeros(quality.BUCKETS), np.full(quality.BUCKETS, 1e-8), 0.0, ~held
+    balance = np.where(y == 1, 0.5 / (y[train] == 1).sum(), 0.5 / (y[train] == 0).sum()) * train
+    for _ in range(quality.STEPS):
+        err = (1 / (1 + np.exp(-(dense @ w + bias))) - y) * balance
+        grad = dense.T @ err + quality.DECAY * w
+        g2 += grad * grad
+        w -= quality.RATE * grad / np.sqrt(g2)
+        bias -= quality.RATE * err.sum()
+    assert np.allclose(model.weights, w, atol=1e-3)
+    p = 1 / (1 + np.exp(-(model.a * (dense @ model.weights) + model.b)))
+    assert np.allclose(model.probability(plain_texts(texts)), p, atol=1e-5)
+    assert ((p > 0.5) == (y == 1))[:40].mean() > 0.95
+
+
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    """A labelled id that stands in many rows, and very long labelled texts, do not swell the fit."""
+    docs = [(i, f"text {i} " * 5) for i in range(30)] + [(0, "text 0 " * 5)] * 300 + [(1, f"other {k}") for k in range(50)] + [(2, "long " * 50_000)]
+    labels = [(i, i % 2) for i in range(30)] + [(3, 0), (None, 1), (4, None), (5, 7), (99, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "y", "h", "size", "label")}).repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int").withColumn("y", F.lit("x"))
+    take = lambda n: Counter((r["y"], r["text"]) for r in quality.labelled_texts(df, lab, "doc_id", "text", "quality", n).collect())
+    every = take(1000)
+    assert every[0, "text 0 " * 5] == 1 and every[1, docs[3][1]] == 1 and every[0, docs[3][1]] == 1 and sum(every.values()) == 31 + 50
+    monkeypatch.setattr(quality, "FIT_BYTES", 16 * 1000)
+    assert max(len(t) for _, t in take(1000)) <= 1000
+    small = take(10)
+    assert Counter(y for y, _ in small.elements()).most_common(1)[0][1] <= 10
+    monkeypatch.setattr(quality, "FIT_BYTES", 16 * 40)
+    assert all(sum(len(t) * n for (y, t), n in take(1000).items() if y == k) <= 640 for k in (0, 1))
