@@ -7,15 +7,19 @@ and strings are judged on the input. Texts are UTF-8; null is empty; strings nev
    form a stretch; equal windows have equal values, so they meet in one group whatever texts they are in.
 2. A group with a single stretch holds nothing that repeats, unless the value stands in two places of it. If all
    stretches of a group are the same bytes, all their windows repeat. Only groups of differing stretches, or of such
-   that may repeat inside, need their bytes: one copy of each distinct stretch.
-3. Those are suffix-sorted in batches of whole groups: buckets of 8-byte prefixes are refined by sorting on the bucket
-   identifiers 8, 16, 32, ... bytes further on, each round reusing the buckets of the one before, up to WIDTH bytes.
-   Windows that still share a bucket repeat.
-4. Groups of more than GROUP_STRETCHES stretches, or with one of over LONG_STRETCH windows, would not fit one task: their windows are counted by a 128-bit hash
-   in an aggregation instead, which gives the same answer.
+   that may repeat inside, need their bytes: one copy of each distinct stretch. Stretches are told apart by a 64-bit
+   digest inside their group, whose value is another 64-bit hash.
+3. Those are suffix-sorted: buckets of 8-byte prefixes are refined by sorting on the bucket identifiers 8, 16, 32, ...
+   bytes further on, each round reusing the buckets of the one before, up to WIDTH bytes. Windows that still share a
+   bucket repeat. Groups of up to GROUP_BYTES distinct bytes are sorted in batches of whole groups.
+4. A larger group goes through the same refinement as a table of suffixes: each round joins a suffix with the bucket of
+   the one further on, groups by the two, and takes the smallest suffix of a group as its bucket, so no group has to
+   meet in one task. The answer is the same.
 
 The broadcast bit set has a fixed size and only spares shipping; joins decide. Rows that repeat are each other's
-copies, so both lose the repeated bytes. A null id is kept as null. An empty table gives no rows.
+copies, so both lose the repeated bytes. A null id is kept as null; rows that share an id are told apart by a hash of
+the text. Very long texts are read whole, one at a time. An empty table gives no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from .decontamination import _in, bit_set
 from .textbytes import chunks, map_text, mix, Powers, Texts, trimmed
 
 GRAM = 24
-GROUP_STRETCHES = 20_000
-LONG_STRETCH = 1 << 20
+#: Distinct bytes of a group that is sorted in one task.
+GROUP_BYTES = 8 << 20
 #: Bytes that are suffix-sorted together, whole groups at a time.
 SORT_BYTES = 1 << 20
 
@@ -181,7 +185,7 @@ def repeated_windows(pieces: list[bytes], width: int) -> np.ndarray:
 
 
 def _sorted_groups(width: int):
-    """Ranges of repeated windows of each distinct stretch; rows come in order of h."""
+    """Ranges of repeated windows of each distinct stretch; rows come in order of h and digest."""
 
     def solve(h: list[int], d: list[int], b: list[bytes]) -> pa.RecordBatch:
         hit = repeated_windows(b, width)
@@ -214,21 +218,48 @@ def _sorted_groups(width: int):
     return run
 
 
-def _windows(width: int):
-    """A row for each window of stretches in groups too large for one task."""
+def _suffixes(depth: int):
+    """A row for each suffix of at least depth bytes, those of a piece in order: its piece, place, bytes and first bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, z in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "bytes")), strict=True):
-                view = memoryview(z)
-                for a in range(0, len(z) - width + 1, 1 << 16):
-                    at = range(a, min(a + (1 << 16), len(z) - width + 1))
-                    w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + width]) for i in at), np.int64).reshape(len(at), 2)
-                    yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array([x] * len(at), pa.int64()), pa.array([y] * len(at), pa.int64()), pa.array(at, pa.int32())], ["w1", "w2", "h", "digest", "place"])
+            for piece, data in zip(batch.column("piece").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                for a in range(0, len(data) - depth + 1, 1 << 17):
+                    n = min(1 << 17, len(data) - depth + 1 - a)
+                    raw = np.frombuffer(data, np.uint8, n + depth - 1, a)
+                    code = np.zeros(n, np.uint64)
+                    for k in range(depth):
+                        code = (code << np.uint64(8)) | raw[k : k + n]
+                    place = np.arange(a, a + n)
+                    yield pa.record_batch([pa.array(np.full(n, piece)), pa.array(place, pa.int32()), pa.array(len(data) - place, pa.int32()), pa.array(code.view(np.int64))], ["piece", "place", "room", "bucket"])
 
     return run
 
 
+def refined(pieces: DataFrame, width: int) -> DataFrame:
+    """piece and place of each repeated window among pieces (piece, bytes), refined as tables.
+
+    Suffixes are numbered in order inside a piece, so the one k bytes further on has a number greater by k. A suffix
+    whose bucket holds no other is dropped: no window that begins with it, or reaches it, repeats.
+    """
+    depth = min(8, width)
+    rows = pieces.mapInArrow(trimmed(_suffixes(depth)), "piece long, place int, room int, bucket long").withColumn("suffix", F.monotonically_increasing_id())
+    rows = stage.persisted(rows, "suffixes")
+
+    def shared(df: DataFrame, keys: list[str]) -> DataFrame:
+        groups = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("suffix").alias("first")).filter("n > 1")
+        kept = df.join(groups, keys).select("suffix", "room", F.col("first").alias("bucket"))
+        return stage.persisted(kept, "buckets")
+
+    live = shared(rows.select("suffix", "room", "bucket"), ["bucket"])
+    while depth < width:
+        step = min(depth, width - depth)
+        later = live.select((F.col("suffix") - step).alias("suffix"), F.col("bucket").alias("later"))
+        live = shared(live.filter(F.col("room") >= depth + step).join(later, "suffix"), ["bucket", "later"])
+        depth += step
+    return rows.select("suffix", "piece", "place").join(live.select("suffix"), "suffix").select("piece", "place")
+
+
 def _applied(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,19 +287,23 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marked = rows.withColumn("mark", F.xxhash64("text"))
     table = stage.persisted(_table(marked, width, gram), "stretches")
-    groups = table.groupBy("h").agg(F.count("*").alias("n"), F.max("count").alias("longest"), ((F.min("digest") != F.max("digest")) | F.max("inner")).alias("mixed")).filter("n > 1 or mixed").select("h", "mixed", ((F.col("n") > GROUP_STRETCHES) | (F.col("longest") > LONG_STRETCH)).alias("large"))
-    groups = stage.persisted(groups, "groups")
+    groups = table.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("count") + (width - 1)).alias("bytes"), ((F.min("digest") != F.max("digest")) | F.max("inner")).alias("mixed")).filter("n > 1 or mixed")
+    groups = stage.persisted(groups.select("h", "mixed", (F.col("bytes") > GROUP_BYTES).alias("wide")), "groups")
     found = stage.persisted(table.join(groups.select("h", "mixed"), "h"), "repeated")
-    mixed = groups.filter("mixed")
-    held = stage.persisted(_bytes(rows, bit_set(mixed.select("h")), width, gram).join(mixed.select("h", "large"), "h"), "stretch-bytes")
-
-    small = held.filter("not large").select("h", "digest", "bytes").repartition("h").sortWithinPartitions("h", "digest")
-    answers = small.mapInArrow(trimmed(_sorted_groups(width)), "h long, digest long, first array<int>, number array<int>")
-    large = held.filter("large").select("h", "digest", "bytes").dropDuplicates(["h", "digest"])
-    windows = large.mapInArrow(trimmed(_windows(width)), "w1 long, w2 long, h long, digest long, place int")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    counted = windows.join(twice, ["w1", "w2"]).groupBy("h", "digest").agg(F.collect_list("place").alias("first")).withColumn("number", F.transform("first", lambda _: F.lit(1)))
-    answers = stage.persisted(answers.unionByName(counted), "answers")
+    mixed = groups.filter("mixed").select("h")
+    held = stage.persisted(_bytes(rows, bit_set(mixed), width, gram).join(mixed, "h"), "stretch-bytes")
+
+    # copies do not count: what is sorted is one of each
+    wide = found.join(groups.filter("mixed and wide").select("h"), "h", "left_semi").select("h", "digest", "count").distinct()
+    large = stage.persisted(wide.groupBy("h").agg(F.sum(F.col("count") + (width - 1)).alias("bytes")).filter(F.col("bytes") > GROUP_BYTES).select("h"), "large-groups")
+    some_large = not large.isEmpty()
+    small = held.join(large, "h", "left_anti") if some_large else held
+    answers = small.repartition("h").sortWithinPartitions("h", "digest").mapInArrow(trimmed(_sorted_groups(width)), "h long, digest long, first array<int>, number array<int>")
+    if some_large:
+        pieces = stage.persisted(held.join(large, "h", "left_semi").dropDuplicates(["h", "digest"]).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+        windows = refined(pieces.select("piece", "bytes"), width).groupBy("piece").agg(F.collect_list("place").alias("first"))
+        answers = answers.unionByName(windows.join(pieces.select("piece", "h", "digest"), "piece").select("h", "digest", "first", F.transform("first", lambda _: F.lit(1)).alias("number")))
+    answers = stage.persisted(answers, "answers")
 
     copies = found.filter("mixed").groupBy("h", "digest").agg(F.count("*").alias("copies"))
     asked = found.filter("mixed").join(copies, ["h", "digest"]).join(answers, ["h", "digest"], "left")

@@ -43,10 +43,10 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("width,group,long", [(40, 20_000, 1 << 20), (40, 5, 300), (100, 20_000, 1 << 20), (7, 20_000, 1 << 20)])
-def test_against_all_windows(spark, monkeypatch, width, group, long):
-    monkeypatch.setattr(substrings, "LONG_STRETCH", long)
-    monkeypatch.setattr(substrings, "GROUP_STRETCHES", group)
+@pytest.mark.parametrize("width,group", [(40, 8 << 20), (40, 700), (100, 0), (7, 8 << 20), (7, 0)])
+def test_against_all_windows(spark, monkeypatch, width, group):
+    """group: bytes from which a group is refined as a table."""
+    monkeypatch.setattr(substrings, "GROUP_BYTES", group)
     monkeypatch.setattr(substrings, "SORT_BYTES", 3000)
     docs = corpus(width)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumns({"h": F.lit("x"), "digest": F.lit(1)}).repartition(3)
@@ -70,6 +70,18 @@ def test_refinement(texts, width):
     assert substrings.repeated_windows(pieces, width).tolist() == want
 
 
+@pytest.mark.parametrize("width", [5, 8, 11, 20, 70])
+def test_refinement_as_tables(spark, width):
+    rng = random.Random(width)
+    base = bytes(rng.choice(b"ab") for _ in range(300))
+    pieces = [b"", b"x", base, base[100:220] + b"cc" + base[:90], b"a" * 200, b"a" * 60, bytes(rng.choice(b"ab") for _ in range(120)), base[5:80], base[250:] + base[:40]]
+    df = spark.createDataFrame([(10 * k, bytearray(p)) for k, p in enumerate(pieces)], "piece long, bytes binary").repartition(3)
+    seen = Counter(p[i : i + width] for p in pieces for i in range(len(p) - width + 1))
+    want = {(10 * k, i) for k, p in enumerate(pieces) for i in range(len(p) - width + 1) if seen[p[i : i + width]] > 1}
+    got = [tuple(r) for r in substrings.refined(df, width).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_op8_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = sorted((r["doc_id"], r["text"]) for r in stage.table(spark, sf, "documents").collect())
