@@ -3,6 +3,12 @@
 Quality rules drop documents; spread lines leave all texts; of each group of near copies
 (5-word shingles, similarity 0.8) the smallest id stays; documents that hold a benchmark item go; what is left is
 encoded. The last stage returns doc_id, n_tokens, token_ids and decoded_sha256. Stages have no state between them.
+
+Null and empty texts fail the quality rules. A null id is kept, and is never one of a group of copies. Rows that repeat
+are treated alike, so they stay or go together; rows that share an id are one document to near-dedup, and documents of
+their own elsewhere. Very long texts are read whole, one at a time. Without labels of both classes only the base rules
+judge; without benchmark items nothing is contaminated; an empty table stays empty. Other columns pass through all
+stages but the last, whatever their names; n_chars, where it is there, follows the text.
 """
 
 from __future__ import annotations

@@ -218,4 +218,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """docs without the documents that hold an item; the columns stay as they are."""
     found = _matches(docs, items, key, text, "item_id", "text")
     gone = stage.persisted(found.select(F.col("doc_id").alias("__gone"), F.col("row").alias("__gone_row")).distinct(), "contaminated")
-    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__gone_row")), "left_anti")
+    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text]) == gone["__gone_row"]), "left_anti")

@@ -288,4 +288,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     """docs without the members of a group other than the one with the smallest id; the columns stay as they are."""
     found = near_duplicates(docs, key, text, n, num, den)
     gone = stage.persisted(found.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "dropped")
-    return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")

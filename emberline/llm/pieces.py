@@ -8,8 +8,13 @@ edge is taken if its piece may follow the last piece of the text before it. Two
 if merging their characters by score gives the two back; as merges are local, the path found is the BPE result itself.
 Characters that end outside every piece become byte pieces.
 
+The parts of a batch are counted once each and remembered in a task, so what is concatenated and indexed is the batch
+text without what was indexed before. An index holds INDEX_CHARS characters, or one part where that is longer: a text
+without a space is such a part, and memory and steps grow with it, as its pieces may depend on each other throughout.
+
 Null texts give null ids; an empty text gives none. Decoding gives the text back, but for the escape character U+2581
-in a text, which reads as a space, as in the model's own library. Repeated rows are treated alike.
+in a text, which reads as a space, as in the model's own library. Repeated rows are treated alike. An empty table gives
+no rows. Only the key and the text are read, whatever the names of other columns.
 """
 
 from __future__ import annotations

@@ -72,6 +72,28 @@ def test_hard_and_empty_tables(spark, tmp_path):
         assert registry.QUERIES[name](spark, empty).count() == 0, name
 
 
+def test_columns_of_any_name(spark, tmp_path):
+    """Names that the stages use themselves pass through, and do not change what stays."""
+    rng = __import__("random").Random(3)
+    body = lambda: " ".join(f"word{rng.randrange(900)}" for _ in range(70))
+    item = " ".join(f"item{k}" for k in range(20))
+    texts = [body() for _ in range(12)]
+    docs = [(i, f"{t}\nfooter of all sites", "en", f"s{i}", 0) for i, t in enumerate(texts)] + [(20, texts[3], "en", "s1", 0), (21, f"{body()} {item}", "en", "s2", 0), (22, "short", "en", "s3", 0)]
+    sf = small_tables(spark, tmp_path / "t", docs, [(1, 1, 0)], [(1, item)])
+    clash = ["id", "h", "y", "size", "label", "mark", "rep", "first", "component_id", "__gone", "__gone_row", "row", "run", "doc", "kept", "n_shingles", "hash", "digest", "v", "probability", "n_tokens", "__n_lines"]
+    plain = stage.table(spark, sf, "documents")
+    wide = plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in clash if c != "__n_lines"})
+    for _, step in corpus_pipeline.STAGES[:4]:
+        plain, wide = step(spark, plain, sf), step(spark, wide, sf)
+        assert wide.columns == [*plain.columns, *[c for c in clash if c != "__n_lines"]]
+        got = wide.collect()
+        assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got) == sorted((r["doc_id"], r["text"], r["n_chars"]) for r in plain.collect())
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in clash if c != "__n_lines")
+    assert sorted(r["doc_id"] for r in got) == list(range(12)) and all("footer" not in r["text"] for r in got)
+    last = corpus_pipeline.STAGES[4][1]
+    assert sorted(map(tuple, last(spark, wide, sf).collect())) == sorted(map(tuple, last(spark, plain, sf).collect()))
+
+
 def test_spread_lines_leave_texts_of_any_share(spark):
     """A page whose spread line is longer than its own text stayed whole, though no other page is like it."""
     footer = " ".join(f"footer{i}" for i in range(100))
