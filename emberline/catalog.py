@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["thermal_queries", "registry_queries", "study_queries", "detail_queries"]
+MODULES = ["thermal_queries", "registry_queries", "study_queries", "detail_queries", "chain_queries"]
 
 
 def _all(name: str) -> dict:

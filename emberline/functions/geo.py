@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,7 +91,7 @@ def ring_bounds(ring: Column) -> Column:
 
 
 def ring_valid(ring: Column) -> Column:
-    """Closed, four points or more, an area, and inside the globe. There is no repair: other rings are rejected."""
+    """Closed, four points or more, an area, and inside the globe."""
     b = ring_bounds(ring)
     closed = (F.element_at(ring, 1)["x"] == F.element_at(ring, -1)["x"]) & (F.element_at(ring, 1)["y"] == F.element_at(ring, -1)["y"])
     return F.when(F.size(ring) < 4, False).otherwise(closed & (ring_area(ring) != 0) & (b["xmin"] >= -180) & (b["xmax"] <= 180) & (b["ymin"] >= -90) & (b["ymax"] <= 90))
@@ -132,3 +136,93 @@ def geohash(lat: Column, lon: Column, precision: int = 4) -> Column:
             value = value * 2 + F.shiftright(source, at).bitwiseAND(F.lit(1).cast("long"))
         out.append(F.substring(letters, (value + 1).cast("int"), F.lit(1)))
     return F.concat(*out)
+
+
+def _turn(p: Column, q: Column, r: Column) -> Column:
+    return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+
+def self_crossing(ring: Column) -> Column:
+    """Whether two sides cross inside both."""
+    sides = _edges(ring)
+
+    def crossing(e: Column, f: Column) -> Column:
+        return (_turn(e["p"], e["q"], f["p"]) * _turn(e["p"], e["q"], f["q"]) < 0) & (_turn(f["p"], f["q"], e["p"]) * _turn(f["p"], f["q"], e["q"]) < 0)
+
+    return F.exists(sides, lambda e: F.exists(sides, lambda f: crossing(e, f)))
+
+
+def repaired_ring(ring: Column) -> Column:
+    """The ring without missing and repeated points, closed; null where that gives no valid ring or its sides cross."""
+    there = F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    apart = F.filter(there, lambda p, i: (i == 0) | (p != F.get(there, i - 1)))
+    closed = F.when(F.get(apart, F.lit(0)) == F.element_at(apart, -1), apart).otherwise(F.concat(apart, F.slice(apart, 1, 1)))
+    return F.when(F.size(apart) >= 3, F.when(ring_valid(closed) & ~self_crossing(closed), closed))
+
+
+def _simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of a line stay: ends, and of each stretch the farthest one from its chord, where over the tolerance."""
+    keep = np.zeros(len(x), bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(x) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
+        length = math.hypot(dx, dy)
+        away = np.abs(dx * py - dy * px) / length if length else np.hypot(px, py)
+        k = int(away.argmax())
+        if away[k] > tolerance:
+            keep[a + 1 + k] = True
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return keep
+
+
+def simplified(points: Column, tolerance: float) -> Column:
+    """A line or ring with fewer points, none of those left out farther than the tolerance from the new line."""
+
+    def run(values: pd.Series) -> pd.Series:
+        def one(v):
+            if v is None or len(v) < 3:
+                return v
+            keep = _simplified(np.array([p["x"] for p in v]), np.array([p["y"] for p in v]), tolerance)
+            return [p for p, k in zip(v, keep, strict=True) if k]
+
+        return values.map(one)
+
+    return F.pandas_udf(run, "array<struct<x:double,y:double>>")(points)
+
+
+_UTM_K, _E4, _E6 = 0.9996, _E2 * _E2, _E2**3
+_EP2 = _E2 / (1 - _E2)
+
+
+def utm_zone(lon) -> Column:
+    return (F.floor((_c(lon) + 180) / 6) + 1).cast("int")
+
+
+def utm_xy(lat, lon, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing, by the usual series of the transverse Mercator projection; northern hemisphere."""
+    phi, lam = F.radians(_c(lat)), F.radians(_c(lon) - (zone * 6 - 183))
+    s, c, t = F.sin(phi), F.cos(phi), F.pow(F.tan(phi), 2)
+    n, cc, a = _A / F.sqrt(1 - _E2 * s * s), _EP2 * c * c, lam * c
+    m = _A * ((1 - _E2 / 4 - 3 * _E4 / 64 - 5 * _E6 / 256) * phi - (3 * _E2 / 8 + 3 * _E4 / 32 + 45 * _E6 / 1024) * F.sin(2 * phi) + (15 * _E4 / 256 + 45 * _E6 / 1024) * F.sin(4 * phi) - 35 * _E6 / 3072 * F.sin(6 * phi))
+    east = _UTM_K * n * (a + (1 - t + cc) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * cc - 58 * _EP2) * F.pow(a, 5) / 120) + 500_000
+    north = _UTM_K * (m + n * F.tan(phi) * (a * a / 2 + (5 - t + 9 * cc + 4 * cc * cc) * F.pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * _EP2) * F.pow(a, 6) / 720))
+    return east, north
+
+
+def utm_inverse(east, north, zone: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of easting and northing; northern hemisphere."""
+    e1 = (1 - math.sqrt(1 - _E2)) / (1 + math.sqrt(1 - _E2))
+    mu = _c(north) / _UTM_K / (_A * (1 - _E2 / 4 - 3 * _E4 / 64 - 5 * _E6 / 256))
+    phi = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
+    s, c, t = F.sin(phi), F.cos(phi), F.pow(F.tan(phi), 2)
+    w = 1 - _E2 * s * s
+    n, r, cc = _A / F.sqrt(w), _A * (1 - _E2) / F.pow(w, 1.5), _EP2 * c * c
+    d = (_c(east) - 500_000) / (n * _UTM_K)
+    lat = phi - n * F.tan(phi) / r * (d * d / 2 - (5 + 3 * t + 10 * cc - 4 * cc * cc - 9 * _EP2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * cc + 45 * t * t - 252 * _EP2 - 3 * cc * cc) * F.pow(d, 6) / 720)
+    lon = (d - (1 + 2 * t + cc) * F.pow(d, 3) / 6 + (5 - 2 * cc + 28 * t - 3 * cc * cc + 8 * _EP2 + 24 * t * t) * F.pow(d, 5) / 120) / c
+    return F.degrees(lat), F.degrees(lon) + (zone * 6 - 183)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 LEVELS = ["watch", "high", "critical"]
 #: Parts of facility kinds that raise the severity by one level.
@@ -81,21 +85,55 @@ def summary() -> Column:
     return F.concat(F.upper("severity"), F.lit(": possible industrial fire at "), where, F.lit(" ("), kind, F.lit("), "), F.coalesce(_text("state"), F.lit("India")), F.lit(" - "), peak, F.lit("; "), bits)
 
 
+def _opened(key: str, gap: int, side: str):
+    """Rows in order of key, _us and _rn, with created. What is kept of a key is the time of its last alert."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, None
+        for batch in batches:
+            keys, us, first = batch.column(key), batch.column("_us"), batch.column("_rn").to_numpy() == 1
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy()
+            times, created = us.fill_null(-1).to_numpy(), np.zeros(batch.num_rows, bool)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [batch.num_rows]])
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if a == b:
+                    continue
+                name = (keys[int(a)].as_py(),)
+                last = last if name == before else None
+                before = name
+                at = np.flatnonzero(first[a:b] & us.is_valid().to_numpy(zero_copy_only=False)[a:b]) + a  # one row for each time
+                t, i = times[at], 0
+                while True:
+                    i = i if last is None else max(i, int(np.searchsorted(t, last + gap, side)))
+                    if i >= len(t):
+                        break
+                    created[at[i]], last, i = True, int(t[i]), i + 1
+            yield pa.record_batch([*(batch.column(n) for n in batch.schema.names[:-2]), pa.array(created)], [*batch.schema.names[:-2], "created"])
+
+    return run
+
+
 def dedupe(events: DataFrame, hours: float = 6.0, key: str = "facility_key", ts: str = "ts", at_limit_new: bool = True) -> DataFrame:
     """Adds created: an event opens an alert unless one was created less than hours before; suppressed events do not
-    extend it. at_limit_new: whether an event exactly hours later opens a new one. An ordered fold per facility."""
-    gap = int(hours * 3_600_000_000)
-    folded = events.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("_times"))
-    apart = (lambda d: d >= gap) if at_limit_new else (lambda d: d > gap)
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    extend it. at_limit_new: whether an event exactly hours later opens a new one. Of events at one time the first by the
+    other columns opens it; an event without a time opens none.
 
-    def step(s: Column, t: Column) -> Column:
-        opens = s["last"].isNull() | apart(t - s["last"])
-        return F.when(opens, F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s)
-
-    kept = folded.select(key, F.aggregate("_times", start, step)["kept"].alias("_kept"))
-    rn = F.row_number().over(W.partitionBy(key, ts).orderBy(*[F.col(c) for c in events.columns if c not in (key, ts)] or [F.lit(1)]))
-    return events.join(kept, key).withColumn("_rn", rn).withColumn("created", F.array_contains("_kept", F.unix_micros(F.col(ts).cast("timestamp"))) & (F.col("_rn") == 1)).drop("_kept", "_rn")
+    Rows are sorted by facility and time and read in Arrow batches that jump from alert to alert; no facility's times
+    are gathered. A pause as long as the limit always opens a new alert, so a facility is cut into stretches there, and
+    those of a busy one are dealt over tasks; the pauses are found by a window that streams its rows.
+    """
+    gap = int(hours * 3_600_000_000)
+    others = [F.col(c) for c in events.columns if c not in (key, ts)] or [F.lit(1)]
+    e = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    e = e.withColumn("_rn", F.row_number().over(W.partitionBy(key, "_us").orderBy(*others)))
+    in_time = W.partitionBy(key).orderBy("_us", "_rn")
+    pause = F.col("_us") - F.lag("_us").over(in_time)
+    fresh = pause >= gap if at_limit_new else pause > gap
+    e = e.withColumn("_fresh", (F.coalesce(fresh, F.lit(False)) & (F.col("_rn") == 1)).cast("int"))
+    e = e.withColumn("_stretch", F.sum("_fresh").over(in_time.rowsBetween(W.unboundedPreceding, 0)))
+    rows = e.repartition(key, "_stretch").sortWithinPartitions(key, "_us", "_rn").select(*events.columns, "_us", "_rn")
+    schema = StructType([*events.schema.fields, StructField("created", BooleanType())])
+    return rows.mapInArrow(_opened(key, gap, "left" if at_limit_new else "right"), schema)
 
 
 def refreshed(events: DataFrame, key: str = "facility_key", ts: str = "ts") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberline import staging
 from emberline.functions import text
 from emberline.operators import graph, spatial
 
@@ -42,29 +42,21 @@ def _agree(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (F.lower(a) == F.lower(b))
 
 
-def near_duplicates(df: DataFrame, key: str, reach_m: float = 100.0, remove: float = 90.0, flag: float = 70.0) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, reach_m: float = 100.0, remove: float = 90.0, flag: float = 70.0, similarity=text.token_set_ratio) -> DataFrame:
     """df with duplicate_of and flagged. In key order a kept row removes later rows near it with a like name; rows of
-    middling likeness are flagged. Rows need the same state, district and industry, where both have one."""
+    middling likeness are flagged. Rows need the same state, district and industry, where both have one.
+
+    A pair of middling likeness counts where its first row is kept and no row before that one has removed the second.
+    """
     pairs = _close_pairs(df, key, reach_m, ["name", "industry", "state", "district"])
     fits = _agree(F.col("industry"), F.col("r_industry")) & _agree(F.col("state"), F.col("r_state")) & _agree(F.col("district"), F.col("r_district"))
-    pairs = pairs.filter(fits).withColumn("score", text.token_set_ratio("name", "r_name")).filter(F.col("score") >= flag).select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "score")
-    pairs = pairs.join(graph.components(pairs.select("a", "b")).withColumnRenamed("node", "a"), "a")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: dict[int, int] = {}
-        flagged: set[int] = set()
-        for r in pdf.sort_values(["a", "b"]).itertuples():
-            if r.a in gone or r.b in gone:
-                continue
-            if r.score >= remove:
-                gone[r.b] = r.a
-            else:
-                flagged |= {r.a, r.b}
-        nodes = sorted(set(gone) | flagged)
-        return pd.DataFrame({"node": nodes, "duplicate_of": pd.array([gone.get(n) for n in nodes], "Int64"), "flagged": [n in flagged for n in nodes]})
-
-    found = pairs.groupBy("label").applyInPandas(walk, "node long, duplicate_of long, flagged boolean").withColumnRenamed("node", key)
-    return df.join(found, key, "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    pairs = pairs.filter(fits).withColumn("score", similarity("name", "r_name")).filter(F.col("score") >= flag).select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "score")
+    pairs = staging.persisted(pairs, "like-pairs")
+    gone = staging.persisted(graph.first_covering(pairs.filter(F.col("score") >= remove)), "removed")
+    soft = pairs.filter(F.col("score") < remove).join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b"), "anchor"), "b", "left").filter("anchor is null or anchor > a")
+    flags = soft.select(F.explode(F.array("a", "b")).alias(key)).distinct().withColumn("_flag", F.lit(True))
+    out = df.join(gone.select(F.col("node").alias(key), F.col("anchor").alias("duplicate_of")), key, "left").join(flags, key, "left")
+    return out.withColumn("flagged", F.coalesce("_flag", F.lit(False))).drop("_flag")
 
 
 def probable_groups(df: DataFrame, key: str, reach_m: float = 50.0, ratio: float = 88.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberline import staging
+from emberline.operators import ordering
+
 
 @dataclass
 class Model:
@@ -92,12 +96,13 @@ def shapley(model: Model, rows: DataFrame, background: DataFrame, key: str, perm
     """key, feature and effect on the probability of the row's class: mean change when a feature joins, over drawn
     orders and background rows. All states are scored in one pass of the model."""
     fs = model.features
-    base = background.select(F.array(*[F.col(f).cast("double") for f in fs]).alias("bg")).withColumn("bi", F.row_number().over(W.orderBy(F.xxhash64("bg", F.lit(seed)))) - 1)
+    rows_of = background.select(F.array(*[F.col(f).cast("double") for f in fs]).alias("bg")).withColumn("_h", F.xxhash64("bg", F.lit(seed)))
+    base = staging.persisted(ordering.ranked(rows_of, ["_h", "bg"], "bi").drop("_h"), "background")
     n_bg = max(base.count(), 1)
     own = score(model, rows).select(key, F.col("model_class").alias("_class"), F.array(*[F.col(f).cast("double") for f in fs]).alias("own"))
     p = own.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     p = p.withColumns({"bi": F.pmod(F.xxhash64(key, "perm", F.lit(seed)), F.lit(n_bg)), "order": F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(len(fs) - 1)), lambda i: F.struct(F.xxhash64(i, "perm", F.col(key), F.lit(seed)).alias("h"), i.alias("i")))), lambda x: x["i"])})
-    p = p.join(F.broadcast(base), "bi").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(fs)))))
+    p = p.join(base, "bi").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(fs)))))
     taken = F.slice("order", F.lit(1), F.col("step"))
     states = p.select(key, "_class", "perm", "step", F.get("order", F.col("step") - 1).alias("added"), *[F.when(F.array_contains(taken, i), F.col("own")[i]).otherwise(F.col("bg")[i]).alias(f) for i, f in enumerate(fs)])
     s = score(model, states).select(key, "perm", "step", "added", F.try_element_at("model_scores", F.col("_class")).alias("v"))
@@ -114,16 +119,19 @@ def grouped_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 def permutation_importance(model: Model, df: DataFrame, label: str, key: str, rounds: int = 5, seed: int = 0) -> DataFrame:
     """feature and drop: how much accuracy falls when the feature's values are dealt to other rows.
 
-    Values change places along two orders by seeded hashes, joined on the rank, so each round is one join per feature.
+    Rows are ranked once by key and once by a seeded hash for each round, by ranges; a feature then takes the value of
+    the row that has its rank in the other order. All features and rounds are scored in one pass of the model.
     """
-    base = score(model, df).agg(F.avg((F.col(label) == F.col("model_class")).cast("double"))).first()[0]
-    rows = []
-    for f in model.features:
-        total = 0.0
-        for k in range(rounds):
-            place = W.orderBy(F.xxhash64(key, F.lit(seed + k), F.lit(f)))
-            donor = df.select(F.col(f).alias("_v"), F.row_number().over(W.orderBy(key)).alias("_n"))
-            mixed = df.withColumn("_n", F.row_number().over(place)).join(donor, "_n").withColumn(f, F.col("_v")).drop("_n", "_v")
-            total += base - score(model, mixed).agg(F.avg((F.col(label) == F.col("model_class")).cast("double"))).first()[0]
-        rows.append((f, total / rounds))
-    return df.sparkSession.createDataFrame(rows, "feature string, drop double")
+    own = staging.persisted(ordering.ranked(df, [key], "_n"), "ranked")
+    values = own.select("_n", *[F.col(f).alias(f"_v_{f}") for f in model.features])
+    mixed = []
+    for k in range(rounds):
+        place = ordering.ranked(own.withColumn("_h", F.xxhash64(key, F.lit(seed + k))), ["_h", key], "_m")
+        dealt = place.drop("_n", "_h").withColumnRenamed("_m", "_n").join(values, "_n")
+        each = F.explode(F.array(*map(F.lit, model.features))).alias("_feature")
+        taken = dealt.select("*", each).withColumns({f: F.when(F.col("_feature") == f, F.col(f"_v_{f}")).otherwise(F.col(f)) for f in model.features})
+        mixed.append(taken.select(label, *model.features, "_feature", F.lit(k).alias("_round")))
+    right = F.avg((F.col(label) == F.col("model_class")).cast("double")).alias("right")
+    base = score(model, own).agg(right.alias("base"))
+    per = score(model, reduce(DataFrame.unionByName, mixed)).groupBy("_feature").agg(right)
+    return per.join(F.broadcast(base)).select(F.col("_feature").alias("feature"), (F.col("base") - F.col("right")).alias("drop"))

@@ -1,39 +1,60 @@
 """Distance joins as equi joins on grid buckets, refined by the exact distance.
 
-Both sides get integer buckets of latitude and longitude; one side is repeated for the eight neighbours. Catalyst sees
-an equi join, so it may broadcast a small side, sort-merge two large ones, and split skewed buckets at run time.
+Rows of buckets are bands of latitude as high as the reach. Each band is cut into whole numbers of buckets around the
+globe, as wide as the reach is at the band's and its neighbours' highest latitude: few of them near the poles, and the
+last one next to the first. One side is repeated for the neighbouring buckets in its own band and the two beside it.
+Catalyst sees an equi join, so it may broadcast a small side, sort-merge two large ones, and split skewed buckets at run
+time. Longitudes are taken modulo 360; rows without a place match nothing.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline import staging
 from emberline.functions import geo
 
 #: Widest facility radius plus the pixel buffer: no assignment reaches further.
 MAX_REACH_M = 6500.0
 PIXEL_BUFFER_M = 500.0
-#: Buckets are laid out for points up to this latitude.
-MAX_LATITUDE = 60.0
+#: A degree on the 6 371 km sphere is 111 194.9 m; this leaves room for rounding.
+_DEGREE_M = 111_000.0
+
+
+def _band(lat: str, reach_m: float) -> Column:
+    return F.floor(F.col(lat) / (reach_m / _DEGREE_M))
+
 
+def _buckets_around(band: Column, reach_m: float) -> Column:
+    """Number of buckets of a band: none is narrower than two points in reach, here or one band on, can be apart."""
+    height = reach_m / _DEGREE_M
+    top = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(90.0))
+    half = math.sin(min(reach_m / 2 / geo.EARTH_M * 1.002, math.pi / 2)) / F.greatest(F.cos(F.radians(top)), F.lit(1e-9))
+    apart = F.when(half < 1, 2 * F.degrees(F.asin(F.least(half, F.lit(1.0))))).otherwise(360.0)
+    return F.greatest(F.floor(360.0 / apart), F.lit(1).cast("long"))
 
-def _steps(reach_m: float, max_lat: float) -> tuple[float, float]:
-    import math
 
-    # a haversine degree on the 6 371 km sphere is 111 194.9 m; 111 000 leaves room for rounding
-    return reach_m / 111_000.0, reach_m / (111_000.0 * math.cos(math.radians(max_lat)))
+def _bucket(lon: str, number: Column) -> Column:
+    turned = F.pmod(F.col(lon) + 180.0, F.lit(360.0))
+    return F.least(F.floor(turned / 360.0 * number), number - 1)
 
 
-def bucketed(df: DataFrame, lat: str, lon: str, reach_m: float, max_lat: float = MAX_LATITUDE) -> DataFrame:
-    dy, dx = _steps(reach_m, max_lat)
-    return df.withColumns({"_by": F.floor(F.col(lat) / dy), "_bx": F.floor(F.col(lon) / dx)})
+def bucketed(df: DataFrame, lat: str, lon: str, reach_m: float) -> DataFrame:
+    return df.withColumn("_by", _band(lat, reach_m)).withColumn("_bx", _bucket(lon, _buckets_around(F.col("_by"), reach_m)))
 
 
-def around(df: DataFrame, lat: str, lon: str, reach_m: float, max_lat: float = MAX_LATITUDE) -> DataFrame:
-    """df once for each of the nine buckets that a point in reach may lie in."""
-    shift = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    return bucketed(df, lat, lon, reach_m, max_lat).withColumn("_s", F.explode(shift)).withColumns({"_by": F.col("_by") + F.col("_s.y"), "_bx": F.col("_bx") + F.col("_s.x")}).drop("_s")
+def around(df: DataFrame, lat: str, lon: str, reach_m: float) -> DataFrame:
+    """df once for each of the buckets, nine at most, that a point in reach may lie in."""
+    d = df.withColumn("_by", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: _band(lat, reach_m) + k)))
+    d = d.withColumn("_n", _buckets_around(F.col("_by"), reach_m)).withColumn("_own", _bucket(lon, F.col("_n")))
+    near = F.array_distinct(F.transform(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]), lambda k: F.pmod(F.col("_own") + k, F.col("_n"))))
+    return d.withColumn("_bx", F.explode(near)).drop("_n", "_own")
 
 
 def pairs_within(left: DataFrame, right: DataFrame, reach_m: float, distance: str = "distance_m") -> DataFrame:
@@ -63,56 +84,62 @@ def match_facilities(points: DataFrame, facilities: DataFrame, key: str) -> Data
     return best.select(key, F.col("best.r_ref").alias("ref"), F.col("best.distance_m").alias("distance_m"))
 
 
-def nearest_facility(points: DataFrame, facilities: DataFrame, key: str, reach_m: float = 20_000.0) -> DataFrame:
-    """key, ref and distance of the nearest facility, however far.
+#: Reaches that are tried in turn; what finds nothing within the last goes by degree cells.
+RINGS_M = (20_000.0, 80_000.0)
 
-    Rings of growing reach: points that find nothing within one go on to the next, four times as wide. The last round
-    compares what is left with the facilities by their broadcast coordinates inside Arrow batches, if their number is
-    under BRUTE_FACILITIES, and else goes on widening up to half the globe.
+
+def nearest_facility(points: DataFrame, facilities: DataFrame, key: str) -> DataFrame:
+    """key, ref and distance of the nearest facility, however far (the smallest ref of equals; nulls without facilities).
+
+    Rings first: places that find nothing within one go on to the next, from a written table. Those that are farther
+    from every facility choose among whole degree cells: of the cells with facilities (64,800 at most, so their list is
+    broadcast) each cell of places keeps those that may hold the nearest one, and these are joined by cell.
     """
-    rest, found = points.select(key, "lat", "lon"), []
-    limit = facilities.count()
-    while True:
-        if reach_m > 2_000_000 or limit <= BRUTE_FACILITIES:
-            found.append(_brute_nearest(rest, facilities, key))
+    fac = facilities.select("ref", "lat", "lon").filter("lat is not null and lon is not null")
+    rest = staging.persisted(points.select("lat", "lon").filter("lat is not null and lon is not null").distinct(), "places")
+    best = lambda d: d.groupBy("lat", "lon").agg(F.min(F.struct("distance_m", "r_ref")).alias("m")).select("lat", "lon", F.col("m.r_ref").alias("ref"), F.col("m.distance_m").alias("distance_m"))
+    found = []
+    for reach in RINGS_M:
+        found.append(staging.persisted(best(pairs_within(rest, facility_columns(fac), reach)), "nearest"))
+        rest = staging.persisted(rest.join(found[-1], ["lat", "lon"], "left_anti"), "places")
+        if rest.isEmpty():
             break
-        near = pairs_within(rest, facility_columns(facilities.select("ref", "lat", "lon")), reach_m)
-        hit = near.groupBy(key).agg(F.min(F.struct("distance_m", "r_ref")).alias("m")).select(key, F.col("m.r_ref").alias("ref"), F.col("m.distance_m").alias("distance_m"))
-        found.append(hit)
-        rest, reach_m = rest.join(hit.select(key), key, "left_anti"), reach_m * 4
+    else:
+        found.append(best(_far_pairs(rest, fac)))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
-
+    return points.select(key, "lat", "lon").join(out, ["lat", "lon"], "left").select(key, "ref", "distance_m")
 
-#: Facilities up to this number (16 MB of coordinates at most) are compared directly.
-BRUTE_FACILITIES = 200_000
 
+def _cell(lat: str, lon: str) -> Column:
+    """Number of the whole degree cell."""
+    row = F.least(F.floor(F.col(lat)) + 90, F.lit(179).cast("long"))
+    return row * 360 + F.floor(F.pmod(F.col(lon) + 180.0, F.lit(360.0)))
 
-def _brute_nearest(points: DataFrame, facilities: DataFrame, key: str) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
 
-    table = facilities.select("ref", "lat", "lon").orderBy("ref").toArrow()
-    if table.num_rows == 0:
-        return points.select(key, F.lit(None).cast("long").alias("ref"), F.lit(None).cast("double").alias("distance_m"))
-    refs, la, lo = (table.column(c).to_numpy() for c in ("ref", "lat", "lon"))
-    la, lo = np.radians(la), np.radians(lo)
+def _far_pairs(places: DataFrame, facilities: DataFrame) -> DataFrame:
+    """places with the facilities, and their distance, of all cells that may hold the nearest one."""
+    spark = places.sparkSession
+    held = facility_columns(facilities).withColumn("_cell", _cell("r_lat", "r_lon"))
+    full = spark.sparkContext.broadcast(held.select("_cell").distinct().toArrow().column(0).to_numpy())  # 64,800 numbers at most
+    mine = places.withColumn("_at", _cell("lat", "lon"))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = full.value
+        la, lo = np.radians(other // 360 - 89.5), np.radians(other % 360 - 179.5)
+        reach = math.radians(math.sqrt(0.5)) * 1.001  # from the middle of a cell to its farthest corner, at most
         for batch in batches:
-            p, q = np.radians(batch.column("lat").to_numpy()), np.radians(batch.column("lon").to_numpy())
-            at, dist = np.empty(len(p), np.int64), np.empty(len(p))
-            step = max(1, 4_000_000 // len(la))
-            for i in range(0, len(p), step):
-                h = np.sin((la - p[i : i + step, None]) / 2) ** 2 + np.cos(p[i : i + step, None]) * np.cos(la) * np.sin((lo - q[i : i + step, None]) / 2) ** 2
-                best = h.argmin(axis=1)
-                at[i : i + step], dist[i : i + step] = best, 2 * geo.EARTH_M * np.arcsin(np.sqrt(h[np.arange(len(best)), best]))
-            yield pa.record_batch([batch.column(key), pa.array(refs[at]), pa.array(dist)], [key, "ref", "distance_m"])
-
-    kinds = dict(points.dtypes) | {"ref": dict(facilities.dtypes)["ref"]}
-    return points.mapInArrow(run, f"{key} {kinds[key]}, ref {kinds['ref']}, distance_m double")
+            for at in batch.column(0).to_numpy():
+                p, q = math.radians(at // 360 - 89.5), math.radians(at % 360 - 179.5)
+                h = np.sin((la - p) / 2) ** 2 + math.cos(p) * np.cos(la) * np.sin((lo - q) / 2) ** 2
+                d = 2 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+                near = other[d - 2 * reach <= d.min(initial=np.inf) + 2 * reach]
+                yield pa.record_batch([pa.array(np.full(len(near), at)), pa.array(near)], ["_at", "_cell"])
+
+    pairs = mine.select("_at").distinct().mapInArrow(run, "_at long, _cell long")
+    joined = mine.join(pairs, "_at").join(held, "_cell").drop("_at", "_cell")
+    return joined.withColumn("distance_m", geo.haversine_m("lat", "lon", "r_lat", "r_lon"))
 
 
 def containing(points: DataFrame, areas: DataFrame, inside: Column | None = None) -> DataFrame:

@@ -240,10 +240,10 @@ def label_manifest(spark, sf_dir):
     return m.select(F.col("label").alias("confidence"), (F.col("train") + F.col("test") + F.col("unused")).alias("n"), F.col("train").alias("nights"))
 
 
-@query("detections", sql="+t AS (SELECT user_id, acq, frp FROM detections WHERE user_id < 20), l AS (SELECT user_id AS cluster, arg_max(CASE WHEN frp >= 20 THEN 'other' ELSE 'vegetation_fire' END, acq) FILTER (acq <= (SELECT min(acq) FROM t WHERE frp >= 45)) AS c FROM t GROUP BY 1) SELECT count(c) AS shown FROM l")
+@query("detections", sql="+t AS (SELECT user_id, acq, frp FROM detections), l AS (SELECT user_id AS cluster, arg_max(CASE WHEN frp >= 20 THEN 'other' ELSE 'vegetation_fire' END, acq) FILTER (acq <= (SELECT min(acq) FROM t WHERE frp >= 45)) AS c FROM t GROUP BY 1) SELECT count(c) AS shown FROM l")
 def replay_verdict(spark, sf_dir):
     """How many logs have a class shown by the time of the first alert."""
-    d = views.detections(spark, sf_dir).filter("user_id < 20").withColumn("class", F.when(F.col("frp") >= 20, "other").otherwise("vegetation_fire"))
+    d = views.detections(spark, sf_dir).withColumn("class", F.when(F.col("frp") >= 20, "other").otherwise("vegetation_fire"))
     first = F.broadcast(d.filter("frp >= 45").agg(F.min("acq").alias("_at")))
     log = d.join(first, F.col("acq") <= F.col("_at")).groupBy("user_id").agg(F.max_by("class", "acq").alias("class"), F.max("acq").alias("clock"))
     v = live.verdict(log.select(F.col("clock").cast("timestamp").alias("clock"), "class"), d.filter("frp >= 45").select(F.col("acq").cast("timestamp").alias("at")), ["other", "vegetation_fire"])

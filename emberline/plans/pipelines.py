@@ -156,3 +156,10 @@ def slim(df: DataFrame, columns: Sequence[str], digits: int = 5) -> DataFrame:
     """A short projection with rounded numbers, for static listings."""
     kinds = dict(df.dtypes)
     return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
+
+
+def replication_state(df: DataFrame, column: str, now: Column) -> DataFrame:
+    """Adds sequence, source_time and lag_s from a replication state text of key=value lines; nulls where it has none."""
+    field = lambda key: F.nullif(F.regexp_extract(column, rf"(?m)^{key}=(.+)$", 1), F.lit(""))
+    at = F.try_to_timestamp(F.replace(field("timestamp"), F.lit("\\:"), F.lit(":")))
+    return df.withColumns({"sequence": field("sequenceNumber").try_cast("long"), "source_time": at, "lag_s": F.unix_timestamp(now) - F.unix_timestamp(at)})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline import staging
 from emberline.functions import geo, ids, text
-from emberline.operators import dedupe, facilities, matching, snapshots
+from emberline.operators import dedupe, matching, snapshots
 from emberline.plans import serving, thermal_queries, views
 
 QUERIES: dict = {}
@@ -32,9 +32,9 @@ def site_list(spark, sf_dir):
     return serving.page(serving.sites(views.sites(spark, sf_dir), f), ["site_id"], 50, 10).select(*_S)
 
 
-@query("sites", sql="SELECT site_id FROM sites WHERE is_active AND (name ILIKE '%UNITED%' OR industry_type ILIKE '%UNITED%' OR state ILIKE '%UNITED%' OR district ILIKE '%UNITED%' OR evidence_level ILIKE '%UNITED%')")
+@query("sites", sql="SELECT site_id FROM sites WHERE is_active AND (name ILIKE '%uildIN%' OR industry_type ILIKE '%uildIN%' OR state ILIKE '%uildIN%' OR district ILIKE '%uildIN%' OR evidence_level ILIKE '%uildIN%')")
 def site_search(spark, sf_dir):
-    return serving.sites(views.sites(spark, sf_dir), serving.SiteFilters(search="uniTED")).select("site_id")
+    return serving.sites(views.sites(spark, sf_dir), serving.SiteFilters(search="UILdin")).select("site_id")
 
 
 @query("sites", sql=" UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS n FROM sites WHERE is_active GROUP BY 2" for d in ("state", "district", "industry_type", "evidence_level")))
@@ -137,27 +137,6 @@ def block_intersection(spark, sf_dir):
     return matching.combined(_blocks(spark, sf_dir), at_least=2, per_left=None)
 
 
-@query("left_records", "right_records", sql=f"SELECT l.id AS left_id, r.id AS right_id FROM {_LR} abs(l.lat - r.lat) < 2e-1 AND abs(l.lon - r.lon) < 2e-1 WHERE {thermal_queries._hav('l', 'r')} <= 12000")
-def block_radius(spark, sf_dir):
-    return matching.block_radius(views.records(spark, sf_dir, 0), views.records(spark, sf_dir, 1), 12_000)
-
-
-@query("left_records", "right_records", sql=f"""+p AS (SELECT l.id AS left_id, r.id AS right_id, {thermal_queries._hav('l', 'r')} AS d, CASE WHEN l.name = r.name THEN 1e0 ELSE 0e0 END AS ns, CASE WHEN l.industry = r.industry THEN 1e0 ELSE 0e0 END AS i FROM {_LR} abs(l.lat - r.lat) < 2e-1 AND abs(l.lon - r.lon) < 2e-1),
-  q AS (SELECT *, (greatest(0e0, 1 - least(d / 12000e0, 1e0)) * 4e-1 + ns * 3e-1 + i * 1e-1) / 8e-1 AS s FROM p WHERE d <= 12000) SELECT left_id, right_id, round(s, 6) AS match_score, CASE WHEN s >= 0.85 THEN 'automatic_match' WHEN s >= 0.65 THEN 'uncertain_review' ELSE 'non_match' END AS match_confidence FROM q""")
-def pair_scores(spark, sf_dir):
-    """With equality as the text similarity, which SQL can say; the token-set ratio is held by tests."""
-    left, right = views.records(spark, sf_dir, 0), views.records(spark, sf_dir, 1)
-    same = lambda a, b: F.when(a == b, 100.0).otherwise(0.0)
-    w = matching.Weights(max_distance_m=12_000.0)
-    return matching.scored(matching.block_radius(left, right, 12_000), left, right, w, same).select("left_id", "right_id", F.round("match_score", 6).alias("match_score"), "match_confidence")
-
-
-@query("left_records", "right_records")
-def pair_scores_token_set(spark, sf_dir):
-    left, right = views.records(spark, sf_dir, 0), views.records(spark, sf_dir, 1)
-    return matching.scored(matching.block_radius(left, right, 12_000), left, right, matching.Weights(max_distance_m=12_000.0)).select("candidate_id", "left_id", "right_id", "match_score", "match_confidence", "match_method")
-
-
 @query(sql="SELECT p_brand, p_partkey AS first_part FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS rn FROM part) x WHERE rn = 1")
 def dedupe_identity(spark, sf_dir):
     kept, _ = dedupe.keep_first(staging.table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey")
@@ -173,20 +152,6 @@ def dedupe_two_pass(spark, sf_dir):
     return dedupe.two_pass(s, "src", "sid", "s_suppkey").select("s_suppkey")
 
 
-@query("left_records")
-def near_duplicate_records(spark, sf_dir):
-    r = views.records(spark, sf_dir, 0).withColumns({"state": F.lit("x"), "industry": F.lit(None).cast("string")})
-    return dedupe.near_duplicates(r, "id", reach_m=12_000).select("id", "duplicate_of", "flagged")
-
-
-_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring(concat('  ', w, ' '), i, 3)))))"
-
-
-@query("left_records", sql=f"+t AS (SELECT id, lat, lon, {_TRI.format(c='name')} AS g FROM left_records) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM t a JOIN t b ON a.id < b.id AND abs(a.lat - b.lat) < 2e-1 AND abs(a.lon - b.lon) < 2e-1 WHERE {thermal_queries._hav('a', 'b')} <= 12000 AND len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.3")
-def trigram_similarity(spark, sf_dir):
-    return dedupe.trigram_pairs(views.records(spark, sf_dir, 0), "id", 12_000, 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
 # ---- snapshots
 _CUT = "o_orderkey, o_orderstatus, o_totalprice, o_orderdate"
 _OLD = f"old AS (SELECT {_CUT} FROM orders WHERE o_orderkey % 7 <> 0)"
@@ -253,13 +218,6 @@ def facility_capacity(spark, sf_dir):
     return f.groupBy("grp").agg(F.round(F.max("c"), 4).alias("capacity_mw"), F.count("*").alias("source_count"))
 
 
-@query("facilities")
-def facility_merge(spark, sf_dir):
-    f = views.facilities(spark, sf_dir)
-    r = f.select(F.split("sources", ",")[0].alias("source"), F.col("ref").cast("string").alias("source_id"), "name", "kind", F.bround("lat", 1).alias("lat"), F.bround("lon", 1).alias("lon"), "radius_m", "capacity_mw", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("fuel"), F.lit(None).cast("string").alias("footprint"), F.lit(0.0).alias("footprint_area"))
-    return facilities.merge(r)[0]
-
-
 @query(sql="SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[\\-_/\\\\]+', ' ', 'g'), '\\s+', ' ', 'g')) AS normalised FROM part")
 def name_normalise(spark, sf_dir):
     """The driver's part names hold no abbreviations; those are held by tests."""

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, text
+from emberline.operators import ordering
 from emberline.operators.heat_sources import CLASSES
 
 
@@ -137,9 +138,8 @@ def daily_counts(df: DataFrame, ts: str, days: int) -> DataFrame:
 
 
 def downsampled(df: DataFrame, order: str, points: int) -> DataFrame:
-    """At most so many rows of a small series, evenly spread, first and last included."""
-    n, rn = F.count("*").over(W.partitionBy()), F.row_number().over(W.orderBy(order)) - 1
-    d = df.withColumns({"_n": n, "_i": rn})
+    """At most so many rows of a series, evenly spread, first and last included. Ranks come from ranges of the order."""
+    d = ordering.ranked(df, [order], "_i").join(F.broadcast(df.agg(F.count("*").alias("_n"))))
     step = F.greatest(F.col("_n") - 1, F.lit(1)) / F.lit(points - 1)
     wanted = F.round(F.round(F.col("_i") / step) * step)
     return d.filter((F.col("_n") <= points) | (wanted == F.col("_i"))).drop("_n", "_i")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from emberline import staging
 from emberline.functions import geo, text
-from emberline.operators import alerts, baseline, dedupe, detections, evaluation, facilities, heat_sources, imagery, labels, learning, matching, quality, snapshots
-from emberline.plans import analysis, serving, thermal_queries, views
+from emberline.operators import alerts, dedupe, detections, evaluation, facilities, heat_sources, imagery, labels, matching, quality, snapshots
+from emberline.plans import serving, thermal_queries, views
 from emberline.sources import registries, satellite, sinks
 from emberline.streaming import live
 
@@ -187,14 +187,9 @@ def csv_escape(spark, sf_dir):
     return serving.csv_export(s)
 
 
-@query("sites")
-def site_geojson(spark, sf_dir):
-    return serving.geojson(views.sites(spark, sf_dir), ["site_id", "name", "state"])
-
-
 @query("sites", sql="SELECT count(*) AS features, 0::bigint AS wrong_type, 0::bigint AS no_geometry, 0::bigint AS missing_name, count(*) AS missing_owner FROM sites")
 def geojson_report(spark, sf_dir):
-    return sinks.validated(site_geojson(spark, sf_dir), ["name", "owner"])
+    return sinks.validated(serving.geojson(views.sites(spark, sf_dir), ["site_id", "name", "state"]), ["name", "owner"])
 
 
 # ---- quality and registries
@@ -264,28 +259,7 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).groupBy("daynight").agg(F.count("*").alias("n"), F.round(F.sum("frp"), 4).alias("frp"))
 
 
-# ---- learning
-@query(sql="SELECT count(*) AS n, count(*) AS scored FROM labels")
-def second_opinion(spark, sf_dir):
-    """Trains, calibrates and scores; probabilities sum to 1. Accuracy is held by tests."""
-    d = staging.table(spark, sf_dir, "labels").join(staging.table(spark, sf_dir, "documents"), "doc_id")
-    d = d.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"), F.concat(F.lit("r"), (F.col("doc_id") % 6).cast("string")).alias("region"), F.length("text").cast("double").alias("chars"), F.length(F.regexp_replace("text", "[^#*$%&!]", "")).cast("double").alias("marks"))
-    m = learning.train(d, ["chars", "marks"], ["good", "bad"], "label", "region", rounds=3)
-    s = learning.score(m, d)
-    ok = F.abs(F.aggregate(F.map_values("model_scores"), F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9
-    return s.agg(F.count("*").alias("n"), F.count_if(ok).alias("scored"))
-
-
 # ---- alerts, sources and snapshots that the other modules leave
-@query("detections", "facilities")
-def analyse_pipeline(spark, sf_dir):
-    """The whole chain: clusters, facilities, rules, states, ids and baselines."""
-    det, fac = views.detections(spark, sf_dir), views.facilities(spark, sf_dir)
-    profile = baseline.compute(thermal_queries.assigned(spark, sf_dir), window_days=20, exclude_days=5)
-    s, _ = analysis.analyse(det, fac, views.admin_areas(spark, sf_dir), F.lit(1), profile=profile)
-    return s.select("source_id", "thermal_class", "site_within", "state", "baseline_scope", "frp_z", "alert_level")
-
-
 @query("detections", sql=f"+{thermal_queries._EDGES} SELECT cluster, string_agg(detection_id::varchar, ',' ORDER BY acq, detection_id) AS ids FROM clustered GROUP BY 1")
 def source_detail(spark, sf_dir):
     d = heat_sources.cluster(views.detections(spark, sf_dir))

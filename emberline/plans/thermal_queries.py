@@ -225,19 +225,24 @@ def matched_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _classified_sql() -> str:
-    kinds = " ".join(f"WHEN '{k}' THEN {p}e0" for k, (p, _) in heat_sources.KINDS.items())
-    crop, veg = "(cluster % 10) / 1e1", "(cluster % 4) / 8e0"
+def evidence_sql(crop: str, veg: str, bare: str, unknown: str) -> dict[str, str]:
+    """The evidence of a source, as SQL over its summary."""
     flag = lambda c: f"(CASE WHEN {c} THEN 1e0 ELSE 0e0 END)"
     near, far, per = flag("ref IS NOT NULL"), flag("ref IS NULL"), flag("n_days >= 3")
-    f = {
+    return {
         "near_site": near, "far_from_site": far, "persistent": per, "very_persistent": flag("n_days >= 5"), "brief": flag("n_days <= 2"), "site_continuous": f"(coalesce(prior, 0e0) * {near})",
         "site_episodic": f"({near} * (1 - coalesce(prior, 0e0)))", "point_like": flag("extent_m <= 1500"), "night_present": flag("night_fraction >= 0.25"), "frp_high": flag("frp_max >= 40"),
         "recent": flag("hours <= 24"), "lc_crop": crop, "lc_vegetation": veg, "crop_brief": f"({crop} * {flag('n_days <= 2')})", "crop_frp_small": f"({crop} * {flag('frp_max < 10')})",
-        "veg_frp_mid": f"({veg} * {flag('frp_max >= 15')})", "veg_big_extent": f"({veg} * {flag('extent_m > 3000')})", "agri_season_crop": "0e0", "lc_unknown": flag("cluster % 9 = 0"),
+        "veg_frp_mid": f"({veg} * {flag('frp_max >= 15')})", "veg_big_extent": f"({veg} * {flag('extent_m > 3000')})", "agri_season_crop": "0e0", "lc_unknown": flag(unknown),
         "unmapped_persistent": f"({far} * {per})", "unmapped_very_persistent": f"({far} * {flag('n_days >= 5')})", "unmapped_point_like": f"({far} * {per} * {flag('extent_m <= 1500')})",
-        "unmapped_night": f"({far} * {per} * {flag('night_fraction >= 0.25')})", "unmapped_bare_built": f"({far} * {per} * ((cluster % 3) / 1e1))", "bias": "1e0",
+        "unmapped_night": f"({far} * {per} * {flag('night_fraction >= 0.25')})", "unmapped_bare_built": f"({far} * {per} * {bare})", "bias": "1e0",
     }
+
+
+def _classified_sql(crop: str = "(cluster % 10) / 1e1", veg: str = "(cluster % 4) / 8e0", bare: str = "((cluster % 3) / 1e1)", unknown: str = "cluster % 9 = 0") -> str:
+    """From detections to classed sources, with the given land cover."""
+    kinds = " ".join(f"WHEN '{k}' THEN {p}e0" for k, (p, _) in heat_sources.KINDS.items())
+    f = evidence_sql(crop, veg, bare, unknown)
     logits = ", ".join(f"{' + '.join(f'({w}e0) * {f[n]}' for n, w in ws.items())} AS l{i}" for i, ws in enumerate(heat_sources.WEIGHTS.values()))
     m = _ASSIGN.replace("detections d", "summary d").replace("d.detection_id", "d.cluster").replace("match AS", "smatch AS")
     n = len(heat_sources.CLASSES)
@@ -264,12 +269,6 @@ def classify_scores(spark, sf_dir):
     return c.select("cluster", "thermal_class", F.round(F.array_max(F.map_values(score)), 6).alias("score"), F.round("class_margin", 6).alias("margin"), F.round(score["industrial_fire_candidate"], 6).alias("p_fire"), F.col("class_confidence").alias("confidence"))
 
 
-@query("detections", "facilities")
-def classify_reasons(spark, sf_dir):
-    """Evidence lines; their texts are held by tests."""
-    return classified(spark, sf_dir).select("cluster", "thermal_label", F.concat_ws(" | ", "reasons").alias("reasons"))
-
-
 @query("detections", "facilities", sql=f"""+{_CLASSED} SELECT cluster, CASE WHEN thermal_class = 'industrial_fire_candidate' AND hours <= 24 AND frp_max >= 8 THEN CASE WHEN frp_max >= 100 THEN 'critical' WHEN frp_max >= 40 THEN 'high' ELSE 'watch' END
   WHEN thermal_class = 'industrial_persistent' AND n_days >= 4 AND frp_recent_max >= 3 * greatest(frp_mean, 1) AND frp_recent_max >= 30 THEN 'high' END AS alert_level FROM classed""")
 def alert_flag(spark, sf_dir):

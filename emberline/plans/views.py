@@ -38,8 +38,17 @@ _AREAS = """SELECT n_nationkey AS area_id, n_name AS area_name, 69 + (n_nationke
 _RECORD = """SELECT p_partkey AS id, p_name AS name, p_type AS industry, p_brand AS district, p_size AS size,
   8 + (p_partkey * 7 % 1200) / 1e2 AS lat, 69 + (p_partkey * 11 % 1300) / 1e2 AS lon FROM part WHERE p_partkey % 2 = {side}"""
 
+#: Records close enough to compare: a few within some hundred metres of each.
+_NEAR = """SELECT p_partkey AS id, p_name AS name, p_type AS industry, p_brand AS district, 20 + (p_partkey * 7 % 97) / 1e3 AS lat, 75 + (p_partkey * 11 % 89) / 1e3 AS lon
+FROM part WHERE p_partkey % 2 = {side}"""
+#: Facilities in groups of three neighbours of one kind, some of them side by side.
+_DENSE = f"""SELECT s_suppkey AS ref, s_name AS name, 20 + (s_suppkey // 3 * 7 % 13) * 3e-3 + (s_suppkey % 3) * 1e-3 AS lat, 75 + (s_suppkey // 3 * 11 % 17) * 3e-3 AS lon,
+  {_pick('s_suppkey // 3 % 10', KIND_LIST)} AS kind, cast(400 + (s_suppkey % 5) * 300 AS double) AS radius_m, s_acctbal AS capacity_mw,
+  CASE s_suppkey % 5 WHEN 0 THEN 'osm' WHEN 1 THEN 'gem' WHEN 2 THEN 'wri_gppd' WHEN 3 THEN 'ggfr' ELSE 'vnf' END AS source
+FROM supplier"""
+
 #: DuckDB text of each view.
-SQL = {"detections": _DET, "facilities": _FAC, "sites": _SITES, "admin_areas": _AREAS, "left_records": _RECORD.format(side=0), "right_records": _RECORD.format(side=1)}
+SQL = {"near_left": _NEAR.format(side=0), "near_right": _NEAR.format(side=1), "dense_facilities": _DENSE, "detections": _DET, "facilities": _FAC, "sites": _SITES, "admin_areas": _AREAS, "left_records": _RECORD.format(side=0), "right_records": _RECORD.format(side=1)}
 
 
 def with_views(body: str, *names: str) -> str:
@@ -83,3 +92,11 @@ def admin_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
     return _view(spark, sf_dir, SQL["left_records" if side == 0 else "right_records"], "part")
+
+
+def near_records(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    return _view(spark, sf_dir, SQL["near_left" if side == 0 else "near_right"], "part")
+
+
+def dense_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, _DENSE, "supplier")

@@ -38,10 +38,16 @@ ALIASES = {
 }
 
 
-def pick(df: DataFrame, key: str) -> Column | None:
-    by_name = {c.lower().strip(): c for c in df.columns}
-    found = next((by_name[a] for a in ALIASES[key] if a in by_name), None)
-    return F.col(f"`{found}`") if found else None
+def meanings(df: DataFrame) -> dict[str, Column]:
+    """Columns of df by what they hold, one pass over their names; of several aliases the first listed one wins."""
+    best: dict[str, tuple[int, Column]] = {}
+    for c in df.columns:
+        alias = c.strip().lower()
+        for key in (k for k, listed in ALIASES.items() if alias in listed):
+            place = ALIASES[key].index(alias)
+            if key not in best or place < best[key][0]:
+                best[key] = place, F.col(f"`{c}`")
+    return {key: c for key, (_, c) in best.items()}
 
 
 def _record(df: DataFrame, source: str) -> DataFrame:
@@ -64,21 +70,20 @@ def tracker(df: DataFrame, name: str, countries: Sequence[str] = ("india", "ind"
     """A unit-level tracker: units of one place add up, the most advanced unit gives name and status."""
     if name not in TRACKERS:
         raise ValueError(f"trackers: {sorted(TRACKERS)}")
-    lat, lon = pick(df, "lat"), pick(df, "lon")
+    known = meanings(df)
+    lat, lon = known.get("lat"), known.get("lon")
     if lat is None or lon is None:
-        joint = next((c for c in df.columns if c.lower().strip() in ("coordinates", "coordinate", "lat/lon")), None)
-        if joint is None:
+        joint = [c for c in df.columns if c.lower().strip() in ("coordinates", "coordinate", "lat/lon")]
+        if not joint:
             raise ValueError("no coordinates")
-        parts = F.split(F.col(f"`{joint}`"), ",", 2)
+        parts = F.split(F.col(f"`{joint[0]}`"), ",", 2)
         lat, lon = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
-    text = lambda key: F.coalesce(pick(df, key).cast("string"), F.lit("")) if pick(df, key) is not None else F.lit("")
-    status, rank = F.lower(F.trim(text("status"))), F.create_map(*[F.lit(x) for k, v in STATUS_RANK.items() for x in (k, v)])
+    optional = lambda key, kind="string": known[key].try_cast(kind) if key in known else F.lit(None).cast(kind)
+    status, rank = F.lower(F.trim(F.coalesce(optional("status"), F.lit("")))), F.create_map(*[F.lit(x) for k, v in STATUS_RANK.items() for x in (k, v)])
     lat, lon = F.bround(lat.try_cast("double"), 5), F.bround(lon.try_cast("double"), 5)
-    ident = pick(df, "id").cast("string") if pick(df, "id") is not None else F.concat_ws(",", lat.cast("string"), lon.cast("string"))
-    d = df.filter(F.lower(F.trim(text("country"))).isin(*countries)) if pick(df, "country") is not None else df
-    optional = lambda key: pick(df, key).cast("string") if pick(df, key) is not None else F.lit(None).cast("string")
-    capacity = pick(df, "capacity").try_cast("double") if pick(df, "capacity") is not None else F.lit(None).cast("double")
-    d = d.filter(status.isin(*STATUS_RANK)).select(F.concat(F.lit(f"{name}:"), ident).alias("source_id"), optional("name").alias("name"), lat.alias("lat"), lon.alias("lon"), capacity.alias("capacity_mw"), F.nullif(status, F.lit("")).alias("status"), optional("url").alias("url"), F.try_element_at(rank, status).alias("rank"))
+    ident = optional("id") if "id" in known else F.concat_ws(",", lat.cast("string"), lon.cast("string"))
+    d = df.filter(F.lower(F.trim(optional("country"))).isin(*countries)) if "country" in known else df
+    d = d.filter(status.isin(*STATUS_RANK)).select(F.concat(F.lit(f"{name}:"), ident).alias("source_id"), optional("name").alias("name"), lat.alias("lat"), lon.alias("lon"), optional("capacity", "double").alias("capacity_mw"), F.nullif(status, F.lit("")).alias("status"), optional("url").alias("url"), F.try_element_at(rank, status).alias("rank"))
     best = F.struct("rank", F.coalesce("name", F.lit("~")), "lat", "lon")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), best)).alias(c)
     d = d.groupBy("source_id").agg(*[first(c) for c in ("name", "lat", "lon", "status", "url")], F.sum("capacity_mw").alias("capacity_mw"))

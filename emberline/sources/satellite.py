@@ -40,15 +40,20 @@ def normalised(raw: DataFrame, product: str, live: bool = True) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, product: str, live: bool = True) -> DataFrame:
-    """One product's file or folder. A payload whose first line is no header, such as an error page, is refused."""
-    head = spark.read.text(path).limit(1).collect()
-    if not head or "latitude" not in head[0][0]:
-        raise UnexpectedPayload(f"{product}: the first line is no header")
-    names = head[0][0].strip().split(",")
+    """One product's file or folder. Columns go by the header of each file, whatever their order. A payload whose lines
+    hold no header, such as an error page, is refused, and with it the product."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"))
+    headed = F.when(F.array_contains(F.split(F.lower("line"), r'"?,"?'), "latitude"), F.col("line"))
+    files = lines.groupBy("file").agg(F.first(headed, ignorenulls=True).alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    if not files or any(r["head"] is None for r in files):
+        raise UnexpectedPayload(f"{product}: no header")
     kinds = dict(f.strip().split(" ") for f in CSV_SCHEMA.split(","))
-    raw = spark.read.csv(path, header=True, schema=", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names), mode="PERMISSIVE")
-    missing = [n for n in kinds if n not in names]
-    return normalised(raw.withColumns({n: F.lit(None).cast(kinds[n]) for n in missing}), product, live)
+    parts = []
+    for r in files:  # a few headers, each with its files
+        names = [n.strip().strip('"').lower() for n in r["head"].split(",")]
+        raw = spark.read.csv(r["files"], header=True, schema=", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names), mode="PERMISSIVE")
+        parts.append(raw.select(*[(F.col(n) if n in names else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()]))
+    return normalised(reduce(DataFrame.unionByName, parts), product, live)
 
 
 def read_products(spark: SparkSession, paths: dict[str, str], region: Sequence[float] = REGION) -> tuple[DataFrame, list[str]]:

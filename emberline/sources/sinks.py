@@ -66,3 +66,25 @@ def manifest(df: DataFrame, label: str = "label", split: str = "split") -> DataF
     counts = df.groupBy(label).pivot(split, ["train", "test", "unused"]).count().fillna(0)
     digest = df.select(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)").alias("h")).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum("h").cast("string")), 256).alias("sha256"))
     return counts.join(F.broadcast(digest))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """output (folder below path), file and sha256 of every data file below path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -2).alias("output"), F.element_at(parts, -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_labels(df: DataFrame, path: str) -> None:
+    """Labels as Parquet and as packed CSV below path, and a manifest with the digest of every file beside them."""
+    df.write.mode("overwrite").parquet(f"{path}/files/parquet")
+    df.write.mode("overwrite").option("compression", "gzip").csv(f"{path}/files/csv", header=True)
+    file_digests(df.sparkSession, f"{path}/files").write.mode("overwrite").json(f"{path}/manifest")
+
+
+def verified(spark: SparkSession, path: str) -> DataFrame:
+    """output, file and state of written labels against their manifest: ok, altered, missing or unlisted."""
+    listed = spark.read.schema("output string, file string, sha256 string").json(f"{path}/manifest").withColumnRenamed("sha256", "_listed")
+    both = listed.join(file_digests(spark, f"{path}/files"), ["output", "file"], "full_outer")
+    state = F.when(F.col("_listed").isNull(), "unlisted").when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("_listed"), "ok").otherwise("altered")
+    return both.select("output", "file", state.alias("state"))

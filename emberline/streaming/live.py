@@ -91,3 +91,8 @@ def verdict(log: DataFrame, alerts: DataFrame, classes: list[str]) -> DataFrame:
     seen = F.max_by("class", F.when(F.col("_at").isNull() | (F.col("clock") <= F.col("_at")), F.col("clock")))
     shown = j.agg(F.coalesce(seen, F.min_by("class", "clock")).alias("class_shown"), F.first("_at").alias("first_alert"))
     return shown.withColumns({"class_ok": F.col("class_shown").isin(*classes), "alerted": F.col("first_alert").isNotNull()})
+
+
+def change_feed(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of the committed versions of a published table: what is written but not committed is never announced."""
+    return spark.readStream.schema("version string, n long, at timestamp").json(f"{root}/commits")

@@ -139,7 +139,7 @@ def test_dedupe_is_a_fold(spark, at_limit_new):
 def test_greedy_anchors_do_not_chain(spark):
     nodes = spark.createDataFrame([(i, i) for i in range(5)], "key long, ord long")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
-    assert {r["key"]: r["anchor"] for r in graph.greedy_anchors(nodes, edges, "key", "ord").collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert {r["key"]: r["anchor"] for r in graph.greedy_anchors(nodes, edges, "key").collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
 
 
 def test_match_takes_the_widest_margin(spark):
@@ -150,15 +150,6 @@ def test_match_takes_the_widest_margin(spark):
     assert near == {1: 1, 2: 2}
 
 
-def test_nearest_without_brute_force(spark, monkeypatch):
-    rng = random.Random(8)
-    fac = spark.createDataFrame([(i, 8 + rng.random() * 25, 69 + rng.random() * 25, 1.0) for i in range(60)], "ref long, lat double, lon double, radius_m double")
-    pts = spark.createDataFrame([(i, 8 + rng.random() * 25, 69 + rng.random() * 25) for i in range(80)], "k long, lat double, lon double")
-    want = {r["k"]: r["ref"] for r in spatial.nearest_facility(pts, fac, "k").collect()}
-    monkeypatch.setattr(spatial, "BRUTE_FACILITIES", 0)
-    assert {r["k"]: r["ref"] for r in spatial.nearest_facility(pts, fac, "k").collect()} == want
-
-
 def test_rings(spark):
     sq = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
     hole = [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5), (0.5, 0.5)]
