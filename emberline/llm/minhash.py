@@ -10,7 +10,8 @@ function gives all sketches: the k smallest hashes of a set.
    are needed for two linked classes to share one. Up to 25 shingles this is the exact prefix bound; beyond, it
    assumes an overlap of 0.4 of the listed values where at least 0.8 * 32 are expected, which fails with a
    probability under 1e-6 for a link at the threshold.
-3. Every class is compared with the smallest class of each of its lists: pairs grow as the members, not their square.
+3. Every class is compared with one class of each of its lists, the one whose listed values stand in most other lists:
+   an original, whose values its copies share, rather than a copy with values of its own. Pairs grow as the members.
 4. Lists whose members are then still in several components are compared inside, only across components, in blocks of
    BLOCK classes, so that neither a list nor its pairs meet in one task. Sketches of SKETCH values decide what is
    passed on: sets of up to SKETCH shingles exactly, larger ones with a margin of six standard errors.
@@ -85,14 +86,15 @@ def _prefix(num: int, den: int):
 
 
 def inverted_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """v and rep: members of the lists that have two or more."""
+    """v, rep and weight: members of the lists that have two or more; weight: sizes of all lists of its values."""
     values = reps.select("rep", "n_shingles", F.explode("v").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     held = values.join(common, "v").groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
     single = F.least(F.col("n_shingles"), F.lit(LIST_VALUES)) - F.size("held")
     room = F.greatest(_prefix(num, den) - single, F.lit(0)).cast("int")
-    entered = held.withColumn("room", room).filter("room > 0").select("rep", F.explode(F.slice("held", F.lit(1), F.col("room"))).alias("e"))
-    return entered.select("rep", F.col("e.v").alias("v"))
+    weight = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["df"])
+    entered = held.withColumns({"room": room, "weight": weight}).filter("room > 0").select("rep", "weight", F.explode(F.slice("held", F.lit(1), F.col("room"))).alias("e"))
+    return entered.select("rep", "weight", F.col("e.v").alias("v"))
 
 
 def _estimates(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -245,7 +247,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     repeats = not base.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
     entered = stage.persisted(inverted_lists(reps, num, den), "lists")
 
-    pivots = entered.groupBy("v").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    pivots = entered.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("m"), F.count("*").alias("members")).filter("members > 1").select("v", (-F.col("m.r")).alias("pivot"))
     star = stage.persisted(entered.join(pivots, "v").filter("rep <> pivot").groupBy("rep").agg(F.collect_set("pivot").alias("pivots")), "stars")
     needed = entered.join(pivots, "v").select("rep").distinct().join(star, "rep", "left")
     wanted = _texts(docs, key, text).join(needed.join(reps.select("rep", "id", "mark"), "rep"), ["id", "mark"]).select("rep", "pivots", "text")
