@@ -38,11 +38,12 @@ def analyse(det: DataFrame, facilities: DataFrame, areas: DataFrame, month: Colu
     for c, k in (("lc_crop", "double"), ("lc_vegetation", "double"), ("lc_bare", "double"), ("lc_built", "double"), ("lc_dominant", "string")):
         if c not in s.columns:
             s = s.withColumn(c, F.lit(None).cast(k))
-    s = heat_sources.classify(s, month)
+    s = staging.persisted(heat_sources.classify(s, month), "classified")
     s = spatial.first_area(s, areas, "cluster").withColumnRenamed("area_name", "state").drop("area_id")
     s = heat_sources.with_stable_ids(s)
     if profile is not None:
-        s = baseline.attach(s.withColumn("cell_key", geo.cell_key("lat", "lon")), assign(d, facilities), profile)
+        assigned = staging.persisted(assign(d, facilities), "assigned")  # read for the latest day and the modal cell
+        s = baseline.attach(s.withColumn("cell_key", geo.cell_key("lat", "lon")), assigned, profile)
     s = learning.score(model, s)
     named = s.select("cluster", "source_id", "thermal_class")
     return s, d.join(named, "cluster", "left")

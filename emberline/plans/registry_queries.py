@@ -122,14 +122,14 @@ _BLOCKS = f"""blocks AS (SELECT DISTINCT 'd' AS s, l.id AS left_id, r.id AS righ
   SELECT DISTINCT 'g', l.id, r.id FROM {_LR} abs(floor(l.lon / 5e-1) - floor(r.lon / 5e-1)) <= 1 AND abs(floor(l.lat / 5e-1) - floor(r.lat / 5e-1)) <= 1 UNION ALL SELECT DISTINCT 'i', l.id, r.id FROM {_LR} lower(l.industry) = lower(r.industry))"""
 
 
-def _blocks(spark, sf_dir):
+def _blocks(spark, sf_dir, cap=None):
     left, right = views.records(spark, sf_dir, 0), views.records(spark, sf_dir, 1)
-    return [matching.block_district(left, right), matching.block_grid(left, right), matching.block_industry(left, right)]
+    return [matching.block_district(left, right, cap), matching.block_grid(left, right, cap=cap), matching.block_industry(left, right, cap)]
 
 
 @query("left_records", "right_records", sql=f"+{_BLOCKS}, p AS (SELECT left_id, right_id, count(*) AS strategies FROM blocks GROUP BY ALL) SELECT left_id, right_id, strategies FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY right_id) AS rn FROM p) x WHERE rn <= 50")
 def block_union(spark, sf_dir):
-    return matching.combined(_blocks(spark, sf_dir))
+    return matching.combined(_blocks(spark, sf_dir, 50))
 
 
 @query("left_records", "right_records", sql=f"+{_BLOCKS} SELECT left_id, right_id, count(*) AS strategies FROM blocks GROUP BY ALL HAVING count(*) >= 2")

@@ -281,7 +281,8 @@ _HAZARD = "CASE WHEN regexp_matches(coalesce(site_kind, ''), '" + "|".join(alert
 
 
 def _with_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir).withColumn("frp_z", (F.col("cluster") % 7).cast("double"))
+    judged = staging.persisted(classified(spark, sf_dir), "classified")  # read by several rules: classified once
+    return judged.withColumn("frp_z", (F.col("cluster") % 7).cast("double"))
 
 
 @query("detections", "facilities", sql=f"""+{_CLASSED}, cand AS (SELECT *, CASE WHEN ref IS NOT NULL THEN ref::varchar ELSE concat('src:', cluster) END AS facility_key, p_fire >= 0.2 AS by_p, ref IS NOT NULL AND cluster % 7 >= 3 AS by_z,

@@ -157,6 +157,17 @@ def test_matching(spark):
     assert {r["cluster"]: r["methods"] for r in matching.match_fields(c, matching.scored(matching.combined(both), left, right)).collect()} == {1: "industry+name+spatial"}
 
 
+def test_cut_blocks_give_the_same_limit(spark, monkeypatch):
+    """Each strategy cut to the lowest ids beforehand, against all pairs cut afterwards."""
+    rng = random.Random(9)
+    rows = lambda n, at: spark.createDataFrame([(at + i, f"n{rng.randrange(4)} x", f"i{rng.randrange(3)}", f"d{rng.randrange(4)}", 20 + rng.random(), 75 + rng.random()) for i in range(n)], "id long, name string, industry string, district string, lat double, lon double")
+    left, right = rows(40, 0), rows(90, 1000)
+    monkeypatch.setattr(matching, "PARTS", 3)
+    blocks = lambda cap: [matching.block_district(left, right, cap), matching.block_grid(left, right, 0.2, cap), matching.block_industry(left, right, cap), matching.block_prefix(left, right, cap=cap)]
+    for limit in (1, 5, 12):
+        assert sorted(matching.combined(blocks(limit), per_left=limit).collect()) == sorted(matching.combined(blocks(None), per_left=limit).collect())
+
+
 def test_near_duplicates(spark):
     rows = [(1, "alpha steel works", None, None, "x", "d", 20.0, 75.0), (2, "alpha steel works", "cement", None, "x", "d", 20.0001, 75.0), (3, "alpha steel work", None, None, "x", "d", 20.0002, 75.0), (4, "alpha stone", None, None, "x", "d", 20.0003, 75.0), (5, "alpha steel works", None, None, "y", "d", 20.0, 75.0), (6, "alpha steel works", None, None, "x", "d", 21.0, 75.0)]
     got = {r["id"]: (r["duplicate_of"], r["flagged"]) for r in dedupe.near_duplicates(spark.createDataFrame(rows, REC), "id").collect()}
