@@ -33,8 +33,10 @@ from .textbytes import chunks, trimmed
 SPACE = "▁"
 #: Bytes of text whose distinct parts are indexed together.
 BATCH_BYTES = 2 << 20
-#: Parts and pairs remembered in a task before the memory starts anew.
+#: Parts remembered in a task before the memory starts anew.
 REMEMBERED = 400_000
+#: Places for pairs of pieces whose answer is remembered; a later pair takes the place of an earlier one.
+PAIR_BITS = 21
 #: Characters in an index at most, where a single part is not longer: bounds the memory of a worker.
 INDEX_CHARS = 200_000
 
@@ -45,6 +47,7 @@ class Vocabulary:
     scores: list[float]
     normal: list[bool]
     bytes_from: int
+    digest: str
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -53,12 +56,13 @@ class Vocabulary:
 
         m = pb.ModelProto()
         with open(path, "rb") as f:
-            m.ParseFromString(f.read())
+            raw = f.read()
+        m.ParseFromString(raw)
         n = m.normalizer_spec
         if m.trainer_spec.model_type != 2 or not m.trainer_spec.byte_fallback or n.precompiled_charsmap or not n.add_dummy_prefix or n.remove_extra_whitespaces or not n.escape_whitespaces:
             raise ValueError("only BPE models with byte fallback, identity normalisation and a dummy prefix are read")
         names = [p.piece for p in m.pieces]
-        return cls(names, [p.score for p in m.pieces], [p.type == 1 for p in m.pieces], names.index("<0x00>"))
+        return cls(names, [p.score for p in m.pieces], [p.type == 1 for p in m.pieces], names.index("<0x00>"), hashlib.sha256(raw).hexdigest())
 
 
 class Encoder:
@@ -88,11 +92,12 @@ class Encoder:
         cut = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
         crossing = any(SPACE in p.lstrip(SPACE) for p in names)
         self.parts = re.compile("(?s).+" if crossing else (f"[{cut}]|" if cut else "") + f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+").findall
+        self.pair, self.stays = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.forget()
 
     def forget(self) -> None:
+        """Lets the parts go; what is known of pairs holds for all texts."""
         self.part: dict[str, int] = {}
-        self.pair, self.stays = np.zeros(0, np.int64), np.zeros(0, bool)
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -120,18 +125,14 @@ class Encoder:
 
     def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a.astype(np.int64) + 1 << 32) + b
-        if len(key) and len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            missing = self.pair[at] != key
-        else:
-            at, missing = np.zeros(len(key), np.int64), np.ones(len(key), bool)
-        if missing.any():
-            new = np.unique(key[missing])
+        place = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, missing = self.stays[place], np.flatnonzero(self.pair[place] != key)
+        if len(missing):
+            new, at = np.unique(key[missing], return_inverse=True)
             known = np.array([self.may_follow(int(k >> 32) - 1, int(k & 0xFFFFFFFF)) for k in new], bool)
-            place = np.searchsorted(self.pair, new)
-            self.pair, self.stays = np.insert(self.pair, place, new), np.insert(self.stays, place, known)
-            at = np.searchsorted(self.pair, key)
-        return self.stays[at]
+            out[missing] = known[at]
+            self.pair[place[missing]], self.stays[place[missing]] = key[missing], out[missing]
+        return out
 
     def suffixes(self, code: np.ndarray) -> np.ndarray:
         """Places in the order of the longest-piece prefixes of their suffixes: packed symbols first, then doubling."""
@@ -247,7 +248,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text begin and end."""
-        if len(self.part) > REMEMBERED or len(self.pair) > 4 * REMEMBERED:
+        if len(self.part) > REMEMBERED:
             self.forget()
         split = [self.parts(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         words = [p for parts in split for p in parts]
@@ -268,6 +269,17 @@ class Encoder:
         return ids, np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum([len(p) for p in split])]).astype(np.int64)]
 
 
+#: The encoder of this worker, by the digest of its model: pairs learned in a task serve the next one.
+_WORKER: dict[str, Encoder] = {}
+
+
+def worker_encoder(v: Vocabulary) -> Encoder:
+    if v.digest not in _WORKER:
+        _WORKER.clear()
+        _WORKER[v.digest] = Encoder(v)
+    return _WORKER[v.digest]
+
+
 def byte_table(v: Vocabulary) -> list[bytes]:
     """Bytes that each id stands for, with a plain space for the escaped one; control pieces stand for none."""
     return [p.replace(SPACE, " ").encode() if v.normal[i] else bytes([i - v.bytes_from]) if v.bytes_from <= i < v.bytes_from + 256 else b"" for i, p in enumerate(v.pieces)]
@@ -282,7 +294,8 @@ def encode_column(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
     vocabulary = Vocabulary.load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = Encoder(vocabulary), byte_table(vocabulary)
+        encoder, table = worker_encoder(vocabulary), byte_table(vocabulary)
+        encoder.forget()
         for batch in batches:
             for part in chunks(batch, text, BATCH_BYTES):
                 column = part.column(text)
@@ -291,6 +304,7 @@ def encode_column(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 null = column.is_null().to_numpy(zero_copy_only=False)
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(null))
                 yield pa.record_batch([part.column(key), pa.array(np.diff(off), pa.int64(), mask=null), lists, pa.array(decoded, pa.string(), mask=null)], [key, "n_tokens", "token_ids", "decoded_sha256"])
+        encoder.forget()
 
     kind = dict(df.dtypes)[key]
     return df.select(key, text).mapInArrow(trimmed(run), f"`{key}` {kind}, n_tokens long, token_ids array<int>, decoded_sha256 string")
