@@ -67,6 +67,15 @@ def _values(planes: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
+def _small(planes: bytes) -> bytes:
+    """Compressed by entropy, which the shuffle's own compression does not do."""
+    return pa.compress(planes, "zstd", asbytes=True)
+
+
+def _large(small: bytes, size: int) -> bytes:
+    return pa.decompress(small, size, "zstd", asbytes=True)
+
+
 def _sorted_planes(a: np.ndarray) -> bytes:
     """The same for an ascending column, as differences."""
     return _planes(np.diff(a, prepend=a.dtype.type(0)))
@@ -169,10 +178,11 @@ def _sent(ranges: int):
                 full = np.flatnonzero(np.diff(cut))
                 for lo in range(0, len(full), 256):
                     some = full[lo : lo + 256]
-                    keys = [_sorted_planes(c.key[cut[r] : cut[r + 1]]) for r in some]
-                    counts = [_planes(c.count[cut[r] : cut[r + 1]].astype("<u4")) for r in some]
+                    keys = [_small(_sorted_planes(c.key[cut[r] : cut[r + 1]])) for r in some]
+                    counts = [_small(_planes(c.count[cut[r] : cut[r + 1]].astype("<u4"))) for r in some]
+                    sizes = pa.array(np.diff(cut)[some], pa.int64())
                     m = len(some)
-                    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([batch.column("chunk")[k].as_py()] * m, pa.int64()), pa.array([batch.column("model")[k].as_py()] * m, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["range", "chunk", "model", "keys", "counts"])
+                    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([batch.column("chunk")[k].as_py()] * m, pa.int64()), pa.array([batch.column("model")[k].as_py()] * m, pa.int32()), sizes, pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["range", "chunk", "model", "size", "keys", "counts"])
 
     return run
 
@@ -181,22 +191,25 @@ def _summed(models: int):
     """For each chunk, in the order of its keys: what the other chunks hold of them in each model. And the range's words."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys = [_sorted_values(k.as_py()) for k in t.column("keys")]
+        sizes = t.column("size").to_pylist()
+        keys = [_sorted_values(_large(k.as_py(), 8 * n)) for k, n in zip(t.column("keys"), sizes, strict=True)]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        edge = np.cumsum([0, *map(len, keys)])
+        edge = np.cumsum([0, *sizes])
         total = np.zeros((models, len(distinct)), np.int64)
-        counts = [_values(c.as_py(), "<u4") for c in t.column("counts")]
+        counts = [_values(_large(c.as_py(), 4 * n), "<u4") for c, n in zip(t.column("counts"), sizes, strict=True)]
         for i, m in enumerate(t.column("model").to_pylist()):
             total[m, at[edge[i] : edge[i + 1]]] += counts[i]
-        blobs = []
+        blobs, widths = [], []
         for i, m in enumerate(t.column("model").to_pylist()):
             others = total[:, at[edge[i] : edge[i + 1]]]  # a copy; the chunk knows its own counts
             others[m] -= counts[i]
             others = others.ravel()
-            blobs.append(_planes(others.astype("<u4") if others.max() < 1 << 32 else others.astype("<i8")))
+            others = others.astype("<u4") if others.max() < 1 << 32 else others.astype("<i8")
+            blobs.append(_small(_planes(others)))
+            widths.append(others.itemsize)
         words = np.zeros(len(keys), np.int64)
         words[0] = np.count_nonzero(distinct & _ONE)
-        return pa.table({"chunk": t.column("chunk"), "range": t.column("range"), "keys": pa.array(np.diff(edge), pa.int64()), "totals": pa.array(blobs, pa.binary()), "words": pa.array(words)})
+        return pa.table({"chunk": t.column("chunk"), "range": t.column("range"), "keys": t.column("size"), "width": pa.array(widths, pa.int32()), "totals": pa.array(blobs, pa.binary()), "words": pa.array(words)})
 
     return run
 
@@ -205,8 +218,8 @@ def _totals(c: Chunk, model: int, t: pa.Table, models: int) -> np.ndarray:
     """The counts of a chunk's keys in all chunks, a row for each model, from the sums that came back."""
     cols = []
     for k in np.argsort(t.column("range").to_numpy()):
-        n, blob = t.column("keys")[int(k)].as_py(), t.column("totals")[int(k)].as_py()
-        cols.append(_values(blob, "<u4" if len(blob) == 4 * n * models else "<i8").astype(np.int64).reshape(models, n))
+        n, width, blob = (t.column(c)[int(k)].as_py() for c in ("keys", "width", "totals"))
+        cols.append(_values(_large(blob, width * n * models), "<u4" if width == 4 else "<i8").astype(np.int64).reshape(models, n))
     out = np.concatenate(cols, axis=1) if cols else np.zeros((models, 0), np.int64)
     out[model] += c.count
     return out
@@ -260,8 +273,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id",
 
     chunk = packed.select("chunk", "model", "ids", "sizes", "words", "seq")
     ranges = int(n.sum()) // RANGE_ENTRIES + 1
-    sent = chunk.mapInArrow(trimmed(_sent(ranges)), "range int, chunk long, model int, keys binary, counts binary")
-    summed = sent.repartitionById(min(ranges, TASKS), "range").groupBy("range").applyInArrow(_summed(models), "chunk long, range int, keys long, totals binary, words long")
+    sent = chunk.mapInArrow(trimmed(_sent(ranges)), "range int, chunk long, model int, size long, keys binary, counts binary")
+    summed = sent.repartitionById(min(ranges, TASKS), "range").groupBy("range").applyInArrow(_summed(models), "chunk long, range int, keys long, width int, totals binary, words long")
     summed = stage.persisted(summed, "sums", BLOCK_BYTES)
     vocabulary = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
