@@ -150,7 +150,8 @@ def _sparse_rows(part: pa.RecordBatch, t: Texts) -> pa.RecordBatch:
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
     value = np.bincount(at, np.concatenate(shares), len(key)).astype(np.float32)
     off = pa.array(np.searchsorted(key, np.arange(t.n + 1) * BUCKETS), pa.int32())
-    return pa.record_batch([part.column("y"), pa.ListArray.from_arrays(off, pa.array((key % BUCKETS).astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(value))], ["y", "bucket", "share"])
+    rest = [c for c in part.schema.names if c not in ("y", "text")]
+    return pa.record_batch([part.column("y"), pa.ListArray.from_arrays(off, pa.array((key % BUCKETS).astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(value)), *map(part.column, rest)], ["y", "bucket", "share", *rest])
 
 
 class Rows:
@@ -162,12 +163,13 @@ class Rows:
         self.blocks = [(int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
+        """Each row times w, in single precision, as the shares are."""
+        w = w.astype(np.float32)
         z = np.zeros(len(self.off) - 1)
         for a, b in self.blocks:
             lo, hi = self.off[a], self.off[b]
-            c = np.zeros(hi - lo + 1)
-            np.cumsum(w[self.bucket[lo:hi]] * self.share[lo:hi], out=c[1:])
-            z[a:b] = c[self.off[a + 1 : b + 1] - lo] - c[self.off[a:b] - lo]
+            x = np.append(w[self.bucket[lo:hi]] * self.share[lo:hi], np.float32(0))
+            z[a:b] = np.where(np.diff(self.off[a : b + 1]) > 0, np.add.reduceat(x, self.off[a:b] - lo), 0)
         return z
 
     def back(self, err: np.ndarray) -> np.ndarray:
@@ -203,7 +205,7 @@ def fit_weights(y: np.ndarray, rows: Rows, held: np.ndarray, class_weight: np.nd
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
-    """y and text of the sample that the fit reads. Ids, then texts are chosen by hash; only the chosen texts move."""
+    """y, h (hash of id and text) and text of the sample that the fit reads. Ids, then texts are chosen by hash; only the chosen texts move."""
     y = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
     first = lambda df, k, *order: df.filter(F.col("y") == k).orderBy(*order).limit(rows)
     ids = first(y, 0, F.xxhash64("id"), "id").unionByName(first(y, 1, F.xxhash64("id"), "id"))
@@ -215,22 +217,22 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     few = first(sizes, 0, "h", "label").unionByName(first(sizes, 1, "h", "label"))
     running = F.sum("size").over(W.partitionBy("y").orderBy("h", "label"))  # of twice rows at most
     few = few.withColumn("total", running).filter(F.col("total") <= FIT_BYTES).select("label", "h")
-    return mine.join(F.broadcast(stage.persisted(few, "labelled-texts")), ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("y", "text")
+    return mine.join(F.broadcast(stage.persisted(few, "labelled-texts")), ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("y", "h", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model | None:
     """A model from at most rows labelled texts of each class, or None where a class has fewer than 4."""
     labelled = labelled_texts(docs, labels, key, text, label, rows)
-    got = map_text(labelled, "text", _sparse_rows, "y int, bucket array<int>, share array<float>", lower=True).toArrow().combine_chunks()
+    got = map_text(labelled, "text", _sparse_rows, "y int, bucket array<int>, share array<float>, h long", lower=True).toArrow()
+    got = got.sort_by([("y", "ascending"), ("h", "ascending")]).combine_chunks()  # rows arrive in any order, the model must not depend on it
     ys = got.column("y").to_numpy().astype(np.int64)
     totals = {r["y"]: r["count"] for r in labels.groupBy(F.col(label).cast("int").alias("y")).count().collect()}
     if min((ys == 0).sum(), (ys == 1).sum()) < 4:
         return None
-    order = np.argsort(ys, kind="stable")
     buckets, shares = (got.column(c).combine_chunks() for c in ("bucket", "share"))
     del got
     held = np.zeros(len(ys), bool)
-    held[order[::4]] = True
+    held[::4] = True
     share_of = np.where(ys == 1, totals.get(1, 0) / (ys == 1).sum(), totals.get(0, 0) / (ys == 0).sum())
     return fit_weights(ys.astype(np.float64), Rows(buckets.offsets.to_numpy().astype(np.int64), buckets.values.to_numpy(), shares.values.to_numpy()), held, share_of / share_of.mean())
 
