@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -65,23 +66,41 @@ def deduped(stream: DataFrame, hours: float = 6.0) -> DataFrame:
     return stream.groupBy("facility_key").transformWithStateInPandas(OpenAlerts(hours), "facility_key string, ts timestamp, created boolean", "Append", "None")
 
 
-def replay_ticks(det: DataFrame, start: str, end: str, step_minutes: int = 60, latency_hours: int = 3, window_days: int = 14) -> DataFrame:
-    """tick and detection pairs of a virtual clock: a detection shows latency_hours after it was made, for window_days."""
+def _spans(det: DataFrame, start: str, end: str, step_minutes: int, latency_hours: int, window_days: int) -> DataFrame:
+    """det with the numbers _lo and _hi of its first and last tick, computed, not searched for; without ticks it is left out."""
     d = det.withColumns({"acq": F.col("acq").cast("timestamp")}).withColumn("available_at", F.col("acq") + F.expr(f"INTERVAL {latency_hours} HOURS"))
-    # ticks of the span in which a detection shows are computed, not searched for
     first = F.greatest(F.col("available_at"), F.lit(start).cast("timestamp"))
     last = F.least(F.col("acq") + F.expr(f"INTERVAL {window_days} DAYS"), F.lit(end).cast("timestamp"))
     step = step_minutes * 60_000_000
     origin = F.unix_micros(F.lit(start).cast("timestamp"))
     lo, hi = F.ceil((F.unix_micros(first) - origin) / step), F.floor((F.unix_micros(last) - origin) / step)
-    shown = d.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
-    return shown.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("tick", F.timestamp_micros(origin + F.col("_k") * step)).drop("_lo", "_hi", "_k")
+    return d.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
+
 
+def _tick(start: str, step_minutes: int) -> Column:
+    return F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.col("_k") * step_minutes * 60_000_000)
 
-def tick_counts(shown: DataFrame) -> DataFrame:
-    """Per tick the detections that show, and those that are new since the tick before."""
-    first = shown.groupBy("detection_id").agg(F.min("tick").alias("_first"))
-    return shown.join(first, "detection_id").groupBy("tick").agg(F.count("*").alias("visible"), F.count_if(F.col("tick") == F.col("_first")).alias("new"))
+
+def replay_ticks(det: DataFrame, start: str, end: str, step_minutes: int = 60, latency_hours: int = 3, window_days: int = 14) -> DataFrame:
+    """tick and detection pairs of a virtual clock: a detection shows latency_hours after it was made, for window_days."""
+    shown = _spans(det, start, end, step_minutes, latency_hours, window_days)
+    return shown.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("tick", _tick(start, step_minutes)).drop("_lo", "_hi", "_k")
+
+
+def tick_counts(det: DataFrame, start: str, end: str, step_minutes: int = 60, latency_hours: int = 3, window_days: int = 14) -> DataFrame:
+    """Per tick of replay_ticks the detections that show, and those whose id shows for the first time. Spans are counted
+    where they begin and behind their end, so no detection is repeated for its ticks; the running sum has a row a tick."""
+    spans = _spans(det, start, end, step_minutes, latency_hours, window_days).filter("detection_id is not null").select("detection_id", "_lo", "_hi")
+    by_id = spans.groupBy("detection_id", "_lo").agg(F.count("*").alias("n")).groupBy("detection_id").agg(F.min(F.struct("_lo", "n")).alias("m"))
+    fresh = by_id.groupBy(F.col("m._lo").alias("_k")).agg(F.lit(0).cast("long").alias("d"), F.sum("m.n").alias("new"))
+    zero = F.lit(0).cast("long").alias("new")
+    opened = spans.groupBy(F.col("_lo").alias("_k")).agg(F.count("*").alias("d"), zero)
+    closed = spans.groupBy((F.col("_hi") + 1).alias("_k")).agg((-F.count("*")).alias("d"), zero)
+    last = (F.unix_micros(F.lit(end).cast("timestamp")) - F.unix_micros(F.lit(start).cast("timestamp"))) / (step_minutes * 60_000_000)
+    every = det.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor(last), F.lit(0).cast("long")))).alias("_k"), F.lit(0).cast("long").alias("d"), zero)
+    ticks = fresh.unionByName(opened).unionByName(closed).unionByName(every).groupBy("_k").agg(F.sum("d").alias("d"), F.sum("new").alias("new"))
+    counts = ticks.withColumn("visible", F.sum("d").over(W.orderBy("_k").rowsBetween(W.unboundedPreceding, 0))).filter("visible > 0")
+    return counts.select(_tick(start, step_minutes).alias("tick"), "visible", "new")
 
 
 def verdict(log: DataFrame, alerts: DataFrame, classes: list[str]) -> DataFrame:
