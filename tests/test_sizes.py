@@ -17,6 +17,25 @@ def twin(spark, name):
     assert oracle.differences(spark, oracle.duck(SMALL), __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name], SMALL) is None
 
 
+def operator_rows(df):
+    """Rows that each operator of the plan made in one run."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], [0]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            rows.append(metric.get().value())
+    return rows
+
+
 def test_tick_counts_without_pairs(spark):
     """Repeated and missing ids count as in the pairs, which the plan does not make."""
     from emberline.streaming import live
@@ -33,3 +52,28 @@ def test_tick_counts_without_pairs(spark):
     assert {r["tick"]: (r["visible"], r["new"]) for r in got.collect()} == {t: (n, new[t]) for t, n in visible.items()}
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     twin(spark, "replay_ticks")
+
+
+RECORDS = "id long, name string, industry string, district string, lat double, lon double"
+
+
+def records(rng, n, at, ids):
+    """Ids repeat, in equal and unequal records; every column has missing and empty values."""
+    pick = lambda c, k: rng.choice([None, "", " ", *[f"{c}{i}" for i in range(k)], f" {c.upper()}0 "])
+    place = lambda a: None if rng.random() < 0.05 else a + rng.randrange(12) / 4
+    rows = [(None if rng.random() < 0.05 else at + rng.randrange(ids), pick("n", 4), pick("i", 3), pick("d", 4), place(-1), place(179)) for _ in range(n)]
+    return rows + rows[:5]
+
+
+def test_agreeing_pairs(spark):
+    """Equal to the strategies counted over all of their pairs, without making those for ids of one record."""
+    from emberline.operators import matching
+
+    rng = random.Random(3)
+    left, right = (spark.createDataFrame(records(rng, 60, at, 50), RECORDS) for at in (0, 1000))
+    want = matching.combined([matching.block_district(left, right), matching.block_grid(left, right), matching.block_industry(left, right)], at_least=2, per_left=None)
+    got = sorted(map(tuple, matching.agreeing(left, right).collect()), key=repr)
+    assert got == sorted(map(tuple, want.collect()), key=repr) and {n for _, _, n in got} == {2, 3}
+    twin(spark, "block_intersection")
+    plan = __spark_entry__.queries()["block_intersection"](spark, SMALL)
+    assert max(operator_rows(plan)) < 20_000  # 1,000 by 1,000 records: 9,486 pairs, of 214,000 with one strategy or more
