@@ -67,6 +67,15 @@ def probable_groups(df: DataFrame, key: str, reach_m: float = 50.0, ratio: float
 
 
 def trigram_pairs(df: DataFrame, key: str, reach_m: float, least: float) -> DataFrame:
-    """Pairs a < b within reach whose names share enough trigrams; no Python in the plan."""
-    pairs = _close_pairs(df, key, reach_m, ["name"]).withColumn("similarity", text.trigram_similarity(F.col("name"), F.col("r_name")))
-    return pairs.filter(F.col("similarity") >= least).select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "distance_m", "similarity")
+    """Pairs a < b within reach whose names share enough trigrams; no Python in the plan. Names of few kinds are compared
+    once for each pair of kinds."""
+    numbers = text.kinds(df.select("name"))
+    found = lambda d: d.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "distance_m", "similarity")
+    if numbers is None:
+        pairs = _close_pairs(df, key, reach_m, ["name"]).withColumn("similarity", text.trigram_similarity(F.col("name"), F.col("r_name")))
+        return found(pairs.filter(F.col("similarity") >= least))
+    left = text.with_kind(df.select(key, "lat", "lon", "name"), "name", numbers, "n").drop("name")
+    right = left.select(*[F.col(c).alias(f"r_{c}") for c in left.columns])
+    like = text.kind_scores(numbers, text.trigram_similarity, least).select("pair", F.col("score").alias("similarity"))
+    pairs = spatial.pairs_by_place(left, right, reach_m).filter(F.col(key) < F.col(f"r_{key}"))
+    return found(pairs.withColumn("pair", text.kind_pair("n", "r_n")).join(F.broadcast(like), "pair"))

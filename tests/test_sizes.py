@@ -77,3 +77,28 @@ def test_agreeing_pairs(spark):
     twin(spark, "block_intersection")
     plan = __spark_entry__.queries()["block_intersection"](spark, SMALL)
     assert max(operator_rows(plan)) < 20_000  # 1,000 by 1,000 records: 9,486 pairs, of 214,000 with one strategy or more
+
+
+def named(rng, n, names):
+    """Records at few places, with missing names and places."""
+    return [(i, rng.choice(names), None, None, None if i % 13 == 0 else 20 + rng.randrange(9) / 2e3, 75 + rng.randrange(9) / 2e3) for i in range(n)]
+
+
+NAMES = [None, "", "red bolt", "Red  bolt", "red rod", "blue rod", "blue rods", "old anvil", "!"]
+
+
+@pytest.mark.parametrize("kinds", [1024, 2])
+def test_trigram_pairs(spark, monkeypatch, kinds):
+    """Names of few kinds and of many against the pairs of all rows; no pair of rows is made that is not in reach."""
+    from emberline.functions import text
+    from emberline.operators import dedupe, spatial
+
+    monkeypatch.setattr(text, "KINDS", kinds)
+    df = spark.createDataFrame(named(random.Random(8), 120, NAMES), RECORDS)
+    every = spatial.pairs_within(df, df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns]), 300.0).filter("id < r_id")
+    want = every.withColumn("s", text.trigram_similarity(F.col("name"), F.col("r_name"))).filter("s >= 0.3").select("id", "r_id", "distance_m", "s")
+    assert sorted(dedupe.trigram_pairs(df, "id", 300.0, 0.3).collect()) == sorted(want.collect()) != []
+    if kinds == 1024:
+        twin(spark, "trigram_similarity")
+        plan = __spark_entry__.queries()["trigram_similarity"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "flatten" not in plan  # trigrams are taken of the 64 kinds of names, not of the pairs
