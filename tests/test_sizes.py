@@ -102,3 +102,16 @@ def test_trigram_pairs(spark, monkeypatch, kinds):
         twin(spark, "trigram_similarity")
         plan = __spark_entry__.queries()["trigram_similarity"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "flatten" not in plan  # trigrams are taken of the 64 kinds of names, not of the pairs
+
+
+def test_radius_by_place(spark):
+    """Many records at one place: none are joined that are out of reach, and missing places match nothing."""
+    from emberline.operators import matching
+
+    rows = lambda at, lat: spark.createDataFrame([(at + i, "x", "y", "z", None if i == 0 else lat, 75.0) for i in range(200)], RECORDS)
+    left = rows(0, 20.0)
+    far = matching.block_radius(left, rows(1000, 20.0065), 600.0)
+    assert far.count() == 0 and max(operator_rows(far)) < 2_000
+    near = matching.block_radius(left, rows(1000, 20.005), 600.0)
+    assert sorted(map(tuple, near.collect())) == [(i, 1000 + j) for i in range(1, 200) for j in range(1, 200)]
+    twin(spark, "block_radius")
