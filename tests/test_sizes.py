@@ -115,3 +115,35 @@ def test_radius_by_place(spark):
     near = matching.block_radius(left, rows(1000, 20.005), 600.0)
     assert sorted(map(tuple, near.collect())) == [(i, 1000 + j) for i in range(1, 200) for j in range(1, 200)]
     twin(spark, "block_radius")
+
+
+@pytest.mark.parametrize("kinds", [1024, 2])
+def test_scores_by_kinds_of_texts(spark, monkeypatch, kinds):
+    """Pairs by place and texts by kinds against pairs looked up by ids and texts scored pair by pair."""
+    from emberline.functions import text
+    from emberline.operators import matching
+
+    rng = random.Random(2)
+    rows = lambda at: spark.createDataFrame([(at + i, rng.choice(NAMES), rng.choice([None, "", "works", "Plant", "plant", "mine"]), "d", lat, lon) for i, _, _, _, lat, lon in named(rng, 70, NAMES)], RECORDS)
+    left, right, w = rows(0), rows(1000), matching.Weights(max_distance_m=250.0)
+    columns = ["left_id", "right_id", "match_score", "match_confidence", "match_method", "candidate_id", "distance_m", "name_score", "industry_score", "address_score"]
+    with monkeypatch.context() as m:
+        m.setattr(text, "KINDS", 0)
+        want = sorted(matching.scored(matching.block_radius(left, right, 300.0), left, right, w).select(columns).collect())
+    monkeypatch.setattr(text, "KINDS", kinds)
+    got = sorted(matching.scored_within(left, right, 300.0, w).select(columns).collect())
+    assert got == want and len(got) > 100 and len({r["match_method"] for r in got}) > 3
+    if kinds == 1024:
+        for name in ("pair_scores", "pair_scores_token_set"):
+            twin(spark, name)
+            assert "PythonEval" not in __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_rounded(spark):
+    """Equal to F.round, near ties and beyond the range too."""
+    from emberline.functions import text
+
+    rng = random.Random(1)
+    values = [None, float("nan"), float("inf"), 0.0, -0.0, 1e300, 0.1234565, 0.1234575, -0.1234565, 1 / 3, 2.5e-7, 5e-7, -5e-7, 1234.5678915, 12.3456785] + [rng.uniform(-2, 2) for _ in range(500)] + [rng.randrange(10**7) / 10**7 for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6).cast("string").alias("want"), text.rounded("x", 6).cast("string").alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
