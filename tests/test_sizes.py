@@ -147,3 +147,41 @@ def test_rounded(spark):
     values = [None, float("nan"), float("inf"), 0.0, -0.0, 1e300, 0.1234565, 0.1234575, -0.1234565, 1 / 3, 2.5e-7, 5e-7, -5e-7, 1234.5678915, 12.3456785] + [rng.uniform(-2, 2) for _ in range(500)] + [rng.randrange(10**7) / 10**7 for _ in range(500)]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6).cast("string").alias("want"), text.rounded("x", 6).cast("string").alias("got")).collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_duplicates_by_kinds(spark, monkeypatch, seed):
+    """Rows taken together and names by kinds against all pairs of rows, which tests hold against a walk."""
+    from emberline.functions import text
+    from emberline.operators import dedupe
+
+    rng = random.Random(seed)
+    rows = [(*r[:2], rng.choice([None, None, "Mine", "mine"]), rng.choice([None, "s"]), rng.choice(["d", "d", "D", "e"]), None if r[4] is None else 20 + rng.randrange(4) / 2e3, 75 + rng.randrange(4) / 2e3) for r in named(rng, 260, NAMES)]
+    df = spark.createDataFrame(rows, "id long, name string, industry string, state string, district string, lat double, lon double")
+    get = lambda: sorted(map(tuple, dedupe.near_duplicates(df, "id", reach_m=120.0, remove=80.0, flag=40.0).select("id", "duplicate_of", "flagged").collect()), key=repr)
+    got = get()
+    monkeypatch.setattr(text, "KINDS", 2)
+    assert got == get() and len(got) == 260 and {f for _, _, f in got} == {True, False} and sum(d is not None for _, d, _ in got) > 60
+
+
+def test_copies_make_no_pairs(spark):
+    """Three thousand copies of two records: 4.5 million pairs before, of which none is made now."""
+    from emberline import staging
+    from emberline.operators import dedupe
+
+    df = spark.range(6000).selectExpr("id", "if(id % 2 = 0, 'red bolt', 'old anvil') AS name", "cast(null AS string) AS industry", "'x' AS state", "'d' AS district", "20.0D AS lat", "75.0D AS lon")
+    sizes, write = {}, staging.persisted
+
+    def persisted(d, name, *a):
+        out = write(d, name, *a)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    staging.persisted = persisted
+    try:
+        got = dedupe.near_duplicates(df, "id").groupBy("duplicate_of").count().collect()
+    finally:
+        staging.persisted = write
+    assert {r["duplicate_of"]: r["count"] for r in got} == {None: 2, 0: 2999, 1: 2999}
+    assert max(sizes.values()) <= 6000
+    twin(spark, "near_duplicate_records")
