@@ -185,3 +185,46 @@ def test_copies_make_no_pairs(spark):
     assert {r["duplicate_of"]: r["count"] for r in got} == {None: 2, 0: 2999, 1: 2999}
     assert max(sizes.values()) <= 6000
     twin(spark, "near_duplicate_records")
+
+
+def tasks_of_pairs(spark, monkeypatch, name):
+    """Number of pairs of each task that makes some, from one file of 2,000 rows, with blocks as small as the table."""
+    from emberline.operators import matching
+
+    for side, rows in (("LEFT", 16), ("RIGHT", 32)):
+        monkeypatch.setattr(matching, f"{side}_BLOCK", rows, raising=False)
+    twin(spark, name)
+    return [r["count"] for r in __spark_entry__.queries()[name](spark, SMALL).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+
+
+def block_rows(spark, monkeypatch):
+    """Records with repeated and missing ids, and what they are made of, with blocks of a few rows."""
+    from emberline.operators import matching
+
+    for side, rows in (("LEFT", 3), ("RIGHT", 4)):
+        monkeypatch.setattr(matching, f"{side}_BLOCK", rows, raising=False)
+    rng = random.Random(4)
+    return [(rows := records(rng, 80, at, 70), spark.createDataFrame(rows, RECORDS)) for at in (0, 1000)]
+
+
+def same_pairs(sides, pairs, same):
+    (left, _), (right, _) = sides
+    want = [(a[0], b[0]) for a in left for b in right if same(a, b)]
+    assert sorted(map(tuple, pairs.collect()), key=repr) == sorted(want, key=repr) and {i is None for i, _ in want} == {True, False}
+
+
+def test_prefix_pairs_in_many_tasks(spark, monkeypatch):
+    made = tasks_of_pairs(spark, monkeypatch, "block_prefix")
+    assert len(made) > 8 and max(made) < sum(made) / 8  # of eight prefixes
+
+
+def test_pairs_by_blocks_of_equal_keys(spark, monkeypatch):
+    """Against all pairs of rows; generated code holds the pairs of one left row and one block, not of two blocks."""
+    from emberline.operators import matching
+
+    sides = block_rows(spark, monkeypatch)
+    start = lambda r: (r[1] or "").strip(" ")[:2]
+    pairs = matching.block_prefix(sides[0][1], sides[1][1])
+    same_pairs(sides, pairs, lambda a, b: start(a) == start(b) != "")
+    plan = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert [line for line in plan if "Generate explode(transform(" in line and "*(" not in line]
