@@ -228,3 +228,13 @@ def test_pairs_by_blocks_of_equal_keys(spark, monkeypatch):
     same_pairs(sides, pairs, lambda a, b: start(a) == start(b) != "")
     plan = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
     assert [line for line in plan if "Generate explode(transform(" in line and "*(" not in line]
+
+
+def test_district_pairs_in_many_tasks(spark, monkeypatch):
+    from emberline.operators import matching
+
+    made = tasks_of_pairs(spark, monkeypatch, "block_district")
+    assert len(made) > 25 and max(made) < sum(made) / 8  # of 25 districts
+    sides = block_rows(spark, monkeypatch)
+    district = lambda r: (r[3] or "").strip(" ").lower()
+    same_pairs(sides, matching.block_district(sides[0][1], sides[1][1]), lambda a, b: district(a) == district(b) != "")
