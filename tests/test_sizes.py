@@ -238,3 +238,16 @@ def test_district_pairs_in_many_tasks(spark, monkeypatch):
     sides = block_rows(spark, monkeypatch)
     district = lambda r: (r[3] or "").strip(" ").lower()
     same_pairs(sides, matching.block_district(sides[0][1], sides[1][1]), lambda a, b: district(a) == district(b) != "")
+
+
+def test_grid_pairs_in_many_tasks(spark, monkeypatch):
+    import math
+
+    from emberline.operators import matching
+
+    made = tasks_of_pairs(spark, monkeypatch, "block_grid")
+    assert len(made) > 25 and max(made) < sum(made) / 8
+    sides = block_rows(spark, monkeypatch)
+    cell = lambda r: None if None in r[4:] else [math.floor(v / 0.5) for v in r[4:]]
+    near = lambda a, b: a and b and all(abs(x - y) <= 1 for x, y in zip(a, b))
+    same_pairs(sides, matching.block_grid(sides[0][1], sides[1][1]), lambda a, b: near(cell(a), cell(b)))
