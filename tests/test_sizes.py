@@ -230,6 +230,20 @@ def test_pairs_by_blocks_of_equal_keys(spark, monkeypatch):
     assert [line for line in plan if "Generate explode(transform(" in line and "*(" not in line]
 
 
+def test_pairs_in_small_files(spark, monkeypatch, tmp_path):
+    """Pages of written pairs repeat few ids: these four million took 6.4 MB before. Tasks grow in number with the pairs."""
+    from emberline.operators import matching
+
+    sides = [spark.range(n).selectExpr(f"id + {at} AS id", "'red bolt' AS name") for n, at in ((1024, 0), (4096, 10_000))]
+    pairs = matching.block_prefix(*sides)
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.2 * 1024 * 4096
+    made = spark.read.parquet(str(tmp_path / "pairs")).distinct().selectExpr("count(*)", "min(left_id)", "max(left_id)", "min(right_id)", "max(right_id)").first()
+    assert tuple(made) == (1024 * 4096, 0, 1023, 10_000, 14_095)
+    monkeypatch.setattr(matching, "TASK_PAIRS", 10_000)
+    assert matching.block_prefix(*sides).rdd.getNumPartitions() == 420  # of 4,194,304 pairs
+
+
 def test_district_pairs_in_many_tasks(spark, monkeypatch):
     from emberline.operators import matching
 
