@@ -17,8 +17,8 @@ def twin(spark, name):
     assert oracle.differences(spark, oracle.duck(SMALL), __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name], SMALL) is None
 
 
-def operator_rows(df):
-    """Rows that each operator of the plan made in one run."""
+def operator_rows(df, metric="numOutputRows"):
+    """Rows that each operator of the plan made, or wrote for a shuffle, in one run."""
     df.collect()
     todo, rows = [df._jdf.queryExecution().executedPlan()], [0]
     while todo:
@@ -30,9 +30,9 @@ def operator_rows(df):
             todo.append(node.plan())
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
-        metric = node.metrics().get("numOutputRows")
-        if metric.isDefined():
-            rows.append(metric.get().value())
+        found = node.metrics().get(metric)
+        if found.isDefined():
+            rows.append(found.get().value())
     return rows
 
 
@@ -117,6 +117,35 @@ def test_radius_by_place(spark):
     twin(spark, "block_radius")
 
 
+def test_pairs_by_place_shuffle_blocks(spark):
+    """Rows are not shuffled with each place in reach (32,400 here), but in blocks for the nine buckets around."""
+    from emberline.operators import matching
+
+    rows = lambda at: spark.createDataFrame([(at + i, "x", "y", "z", 20.0 + i % 9 / 1e4, 75.0 + i // 9 % 9 / 1e4) for i in range(400)], RECORDS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = matching.block_radius(rows(0), rows(1000), 600.0)
+        assert sum(operator_rows(pairs, "shuffleRecordsWritten")) < 8_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(r) for r in pairs.collect()} == {(i, 1000 + j) for i in range(400) for j in range(400)} and pairs.count() == 160_000
+
+
+def test_pairs_of_one_place_in_many_tasks(spark, monkeypatch):
+    """The rows of one place, with repeated and missing ids, in blocks and parts: each pair once, and made in many tasks."""
+    from emberline.operators import matching, spatial
+
+    monkeypatch.setattr(spatial, "PLACE_BLOCK", 8, raising=False)
+    ids = lambda at: [None if i % 50 == 0 else at + i % 190 for i in range(200)]
+    at = lambda i: (30.0, -0.0) if i < 5 else (20.0, None) if i == 5 else (20.0, 75.0)
+    rows = lambda k: spark.createDataFrame([(n, "x", "y", "z", *at(i)) for i, n in enumerate(ids(k))], RECORDS)
+    pairs = matching.block_radius(rows(0), rows(1000), 600.0)
+    want = [(a, b) for i, a in enumerate(ids(0)) for j, b in enumerate(ids(1000)) if at(i) == at(j) != (20.0, None)]
+    assert sorted(map(tuple, pairs.collect()), key=repr) == sorted(want, key=repr)
+    made = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(made) > 8 and max(made) < sum(made) / 4
+
+
 @pytest.mark.parametrize("kinds", [1024, 2])
 def test_scores_by_kinds_of_texts(spark, monkeypatch, kinds):
     """Pairs by place and texts by kinds against pairs looked up by ids and texts scored pair by pair."""
